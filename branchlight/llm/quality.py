@@ -13,6 +13,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .labelled import bucket, labelled_sample
@@ -163,8 +164,6 @@ def quality_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
 
 def score_column(model, text: Column) -> Column:
     """The score of a text column, by a model with scores(texts)."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(t: pd.Series) -> pd.Series:
         return pd.Series(model.scores(t.tolist()))
