@@ -9,6 +9,7 @@ and further hits for abuse. A logistic regression on the sums of both kinds give
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,9 +19,9 @@ from .labelled import bucket, labelled_sample
 from .quality import logistic, scored
 
 #: Labelled rows that a fit takes at most. The weights are fit to hits of a lexicon learned from the other half.
-FIT_ROWS = 16_000
-#: A term's least number of toxic texts, its least share of them, and the least log odds.
-MIN_TEXTS, MIN_SHARE, MIN_ODDS = 4, 0.002, 2.0
+FIT_ROWS = 12_000
+#: A term's least number of contexts in toxic texts, the least number as a share of those texts, and the least log odds.
+MIN_TEXTS, MIN_SHARE, MIN_ODDS = 4, 0.01, 4.0
 STEMS = (4, 5, 6)
 WINDOW = 6
 MEMO = 400_000
@@ -168,22 +169,30 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.weights, -40, 40)))
 
 
-def terms_of(text: str) -> set[tuple[str, bool]]:
-    """The terms that a text can teach: its words, and their beginnings."""
-    words = {w.strip(EDGE) for w in set(text.lower().split())}
-    words = {w for w in words if 3 < len(w) <= 32}
-    return {(w, False) for w in words} | {(w[:k], True) for w in words for k in STEMS if len(w) > k}
+def terms_of(text: str) -> set[tuple[str, bool, int]]:
+    """The terms that a text can teach, its words and their beginnings, each with a hash of the words before and after it.
 
+    A term is supported by the contexts it is seen in: the words of a text that was copied, even with edits, have one context.
+    """
+    words = text.lower().split()
+    bare = [w.strip(EDGE) for w in words]
+    out = set()
+    for w, before, after in zip(bare, ["", *bare], [*bare[1:], ""], strict=False):
+        if 3 < len(w) <= 32:
+            at = zlib.crc32(f"{before} {after}".encode())
+            out.add((w, False, at))
+            out.update((w[:k], True, at) for k in STEMS if len(w) > k)
+    return out
 
-def lexicon_terms(rows: list[tuple[str, bool, int, int]], toxic: int, clean: int) -> dict[tuple[str, bool], float]:
-    """(term, stem, toxic texts, clean texts) -> weights. A term goes if a shorter stem that is kept says as much."""
+
+def lexicon_terms(rows: list[tuple[str, bool, int, int, int]], toxic: int, clean: int) -> dict[tuple[str, bool], float]:
+    """(term, stem, toxic texts, clean texts, contexts) -> weights. A term goes if a shorter stem that is kept says as much."""
     kept: dict = {}
-    least = max(MIN_TEXTS, MIN_SHARE * toxic)
-    for term, stem, a, b in sorted(rows, key=lambda r: (len(r[0]), not r[1], r[0])):
+    for term, stem, a, b, support in sorted(rows, key=lambda r: (len(r[0]), not r[1], r[0])):
         odds = float(np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1)))
-        if a >= least and odds >= MIN_ODDS and a >= 3 * b * toxic / max(clean, 1):
+        if support >= max(MIN_TEXTS, MIN_SHARE * toxic) and odds >= MIN_ODDS:
             above = max([kept.get((term[:k], True), 0) for k in range(4, len(term) + (not stem))], default=0)
-            if odds > above + 0.7 or not above:
+            if not above or odds > above + 1.5:
                 kept[term, stem] = odds
     return kept if toxic and clean else {}
 
@@ -193,25 +202,32 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     sample = labelled_sample(docs, labels, label_col, held_out=lambda c: bucket(c, folds) == fold, at_most=at_most, id_col=id_col, text_col=text_col)
 
     def taught(batches):
+        """Each context of a term in toxic texts; as context -1, the number of texts with the term; as term '', of all texts."""
         import pyarrow as pa
 
-        seen: dict = {}
         for b in batches:
+            seen: dict = {}
             for t, y, h in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                for term in terms_of(t.as_py()) | {("", False)}:
-                    seen.setdefault((h, *term), [0, 0])[1 - y] += 1
-        keys = list(seen)
-        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.bool_()), pa.array([seen[k][0] for k in keys], pa.int64()), pa.array([seen[k][1] for k in keys], pa.int64())], ["half", "term", "stem", "toxic", "clean"])
-
-    found = sample.mapInArrow(taught, "half int, term string, stem boolean, toxic long, clean long").groupBy("half", "term", "stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    both = found.groupBy("term", "stem").agg(*[F.coalesce(F.sum(F.when(F.col("half") == h, F.col(c))), F.lit(0)).alias(f"{c}{h}") for h in (0, 1) for c in ("toxic", "clean")])
+                seen[h, "", False, y, -1] = seen.get((h, "", False, y, -1), 0) + 1
+                found = terms_of(t.as_py())
+                for term, stem, at in {(term, stem, -1) for term, stem, _ in found} | (found if y else set()):
+                    seen[h, term, stem, y, at] = seen.get((h, term, stem, y, at), 0) + 1
+            keys = list(seen)
+            kinds = (pa.int32(), pa.string(), pa.bool_(), pa.int32(), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], kind) for i, kind in enumerate(kinds)), pa.array(list(seen.values()), pa.int64())], ["half", "term", "stem", "label", "at", "n"])
+
+    seen = sample.mapInArrow(taught, "half int, term string, stem boolean, label int, at long, n long")
+    contexts = seen.groupBy("half", "term", "stem", "label", "at").agg(F.sum("n").alias("n"))
+    texts = lambda y, h: F.coalesce(F.sum(F.when((F.col("at") == -1) & (F.col("label") == y) & (F.col("half") == h), F.col("n"))), F.lit(0))
+    support = lambda h: F.count(F.when((F.col("at") >= 0) & (F.col("half") == h), 1))
+    both = contexts.groupBy("term", "stem").agg(*[f.alias(f"{n}{h}") for h in (0, 1) for n, f in (("toxic", texts(1, h)), ("clean", texts(0, h)), ("support", support(h)))])
     # bounded by the sample: terms of at most at_most texts with at least MIN_TEXTS toxic ones
-    rows = [tuple(r) for r in both.where(f"term = '' or (toxic0 + toxic1 >= {MIN_TEXTS} and toxic0 + toxic1 > clean0 + clean1)").collect()]
-    sizes = next((r[2:] for r in rows if r[0] == ""), (0, 0, 0, 0))
+    rows = [tuple(r) for r in both.where(f"term = '' or (support0 + support1 >= {MIN_TEXTS} and toxic0 + toxic1 > clean0 + clean1)").collect()]
+    sizes = next((r[2:] for r in rows if r[0] == ""), (0,) * 6)
     rows = [r for r in rows if r[0]]
-    chosen = [lexicon_terms([(*r[:2], *r[2 + 2 * h : 4 + 2 * h]) for r in rows], *sizes[2 * h : 2 * h + 2]) for h in (0, 1)]
-    toxic, clean = sizes[0] + sizes[2], sizes[1] + sizes[3]
-    terms = lexicon_terms([(*r[:2], r[2] + r[4], r[3] + r[5]) for r in rows], toxic, clean)
+    chosen = [lexicon_terms([(*r[:2], *r[2 + 3 * h : 5 + 3 * h]) for r in rows], *sizes[3 * h : 3 * h + 2]) for h in (0, 1)]
+    toxic, clean = sizes[0] + sizes[3], sizes[1] + sizes[4]
+    terms = lexicon_terms([(*r[:2], *(r[k] + r[k + 3] for k in (2, 3, 4))) for r in rows], toxic, clean)
     # the weights are fit to what each half's lexicon finds in the other half
     tables = [ToxicityModel(t, None, 0.5) for t in (chosen[1], chosen[0])]
 
