@@ -27,6 +27,28 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for t in tables:
+        spark = t.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+            if f"{shared_dir(spark)}/branchlight/".split(":", 1)[-1].lstrip("/") in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_KEPT: dict = {}
+
+
+def kept(key, make):
+    """make() once for each key and Python worker, since Spark goes on using its workers from task to task."""
+    if key not in _KEPT:
+        for old in [k for k in _KEPT if k[0] == key[0]]:
+            del _KEPT[old]
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle files of jobs whose results are already written."""
     gc.collect()

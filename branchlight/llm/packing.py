@@ -11,19 +11,23 @@ The ranges come from a sample of keys. They decide only which task sorts which r
 
 from __future__ import annotations
 
+import re
+import struct
 import zlib
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame, functions as F
 
-from .common import release, written
+from .common import kept, release, written
+from .token_counts import shown_bytes
 
 DIMS, BITS, HASHED = 4, 11, 1024
 #: Low bits of the sort key that break ties between equal points, so that many copies of a text spread over ranges.
 TIE_BITS = 63 - DIMS * BITS
 #: Rows whose keys are sampled for the ranges at least; otherwise SAMPLE_PER_RANGE rows for each range.
-SAMPLE, SAMPLE_PER_RANGE, RANGES_PER_PARTITION = 4_000, 8, 8
-MEMO = 500_000
+SAMPLE, SAMPLE_PER_RANGE, RANGES_PER_PARTITION = 2_000, 4, 8
+MEMO = 600_000
 
 
 def projection(seed: int = 7) -> np.ndarray:
@@ -66,6 +70,11 @@ def point_of(ids: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return np.clip(np.floor((at + 4) / 8 * (1 << BITS)), 0, (1 << BITS) - 1)
 
 
+#: The vocabulary's split, used where all characters are below U+0250: they are in their composed form and their classes are old.
+SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+ODD = re.compile("[\u0130\x1c-\x1f\x85\xa0|]")
+
+
 class Words(dict):
     """A word's ids as bytes. The vocabulary drops white space, so ASCII-space-separated words encode independently."""
 
@@ -73,10 +82,24 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.full, self.kind = Tokenizer.from_file(path), kind
+        self.full, self.kind, self.parts = Tokenizer.from_file(path), kind, {}
+        self.model, self.shown, self.code = self.full.model, shown_bytes(), {"<u2": "H", "<u4": "I"}[kind]
+
+    def part(self, text: str) -> bytes:
+        got = self.parts.get(text)
+        if got is None:
+            tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.shown))
+            if len(self.parts) >= MEMO:
+                self.parts.clear()
+            got = self.parts[text] = struct.pack(f"<{len(tokens)}{self.code}", *[t.id for t in tokens])
+        return got
 
     def __missing__(self, word: bytes) -> bytes:
-        got = np.array(self.full.encode(word.decode(), add_special_tokens=False).ids, self.kind).tobytes()
+        text = word.decode()
+        if max(text) < "\u0250" and not ODD.search(text):
+            got = b"".join(map(self.part, SPLIT.findall(text.lower())))
+        else:
+            got = np.array(self.full.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         if len(self) >= MEMO:
             self.clear()
         if len(word) <= 64:
@@ -123,7 +146,7 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 2, length: int = 409
     def sampled(batches):
         import pyarrow as pa
 
-        words = Words(vocabulary, kind)
+        words = kept(("words", vocabulary, kind), lambda: Words(vocabulary, kind))
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array(keys(words, b.column(0).to_pylist(), b.column(1).to_numpy(zero_copy_only=False))[1], pa.int64())], ["skey"])
 
@@ -138,7 +161,7 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 2, length: int = 409
     def tokenised(batches):
         import pyarrow as pa
 
-        words = Words(vocabulary, kind)
+        words = kept(("words", vocabulary, kind), lambda: Words(vocabulary, kind))
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 c = b.slice(at, 512)

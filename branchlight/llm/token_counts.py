@@ -15,6 +15,8 @@ import re
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .common import kept
+
 #: Pieces that a worker remembers; it forgets all of them at this number.
 MEMO = 500_000
 #: The pre-tokenizer's pattern. It is used where all characters are below U+0250, whose classes no library disputes.
@@ -115,7 +117,7 @@ def token_counts(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     def count(batches):
         import pyarrow as pa
 
-        counter = Counter(vocabulary, whole.value)
+        counter = kept(("counter", vocabulary), lambda: Counter(vocabulary, whole.value))
         for b in batches:
             n = [counter.count(t.as_py()) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])

@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
+from .common import kept
 from .labelled import bucket, labelled_sample
 from .quality import logistic, scored
 
@@ -152,14 +153,17 @@ class ToxicityModel:
     terms: dict
     weights: np.ndarray | None
     prior: float
+    part: int = 2
     lookups: Lookups | None = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
-        return {"terms": self.terms, "weights": self.weights, "prior": self.prior, "lookups": None}
+        return {"terms": self.terms, "weights": self.weights, "prior": self.prior, "part": self.part, "lookups": None}
 
     def table(self) -> Lookups:
+        """What a worker remembers of the lexicon, kept from task to task while the lexicon is the same."""
         if self.lookups is None:
-            self.lookups = Lookups(Lexicon(self.terms))
+            key = hash(tuple(sorted(self.terms.items())))
+            self.lookups = kept((f"lookups {self.part}", key), lambda: Lookups(Lexicon(self.terms)))
         return self.lookups
 
     def scores(self, texts: list) -> np.ndarray:
@@ -229,7 +233,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     toxic, clean = sizes[0] + sizes[3], sizes[1] + sizes[4]
     terms = lexicon_terms([(*r[:2], *(r[k] + r[k + 3] for k in (2, 3, 4))) for r in rows], toxic, clean)
     # the weights are fit to what each half's lexicon finds in the other half
-    tables = [ToxicityModel(t, None, 0.5) for t in (chosen[1], chosen[0])]
+    tables = [ToxicityModel(t, None, 0.5, k) for k, t in enumerate((chosen[1], chosen[0]))]
 
     def measured(batches):
         import pyarrow as pa
