@@ -15,6 +15,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import contamination
+
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), n=5, least=0.5)
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -35,6 +41,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import licenses
+
+    return licenses(read(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import pseudonym_report
+
+    return pseudonym_report(read(spark, sf_dir, "documents"))
+
+
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dedup import near_vectors
 
