@@ -2,13 +2,15 @@
 
 Seeds: each run of `window` consecutive words is represented by the least hash among its `k`-word grams, its
 winnowed anchor. Equal windows have equal anchors, so a window that stands in two documents has an anchor that does:
-only windows whose anchor is shared can repeat. Extension: the gram of a shared anchor is extended both ways
-to each window that it stands for, and the windows are matched by 128 bits of hash, each to the least document that
-has it. Adjoining windows that are covered make the maximal repeats that are cut out.
-
-All groups by anchor or window only ask for a least and a greatest id, so they combine before the shuffle and no group is
-ever gathered. Joins back to the rows are plain equi-joins of two shuffled sides, which adaptive execution splits when a
-key is hot. The texts are shuffled once, by id; both joins that need them use the same exchange.
+only windows whose anchor is shared can repeat. Extension: the windows around an anchor that stand for it make a run, the anchor
+extended both ways as far as it goes. Equal runs are matched first, each to the least document that has it, which settles most copied
+text; only the first of equal runs, and only where an anchor has runs that differ, is then matched window by
+window. That is whole: a window that repeats has a run that repeats, or its first runs are both among those compared.
+Covered windows that adjoin make the maximal repeats that are cut out.
+
+All groups ask only for a least and a greatest id, so they combine before the shuffle and no group is ever gathered.
+Joins back to the rows are equi-joins of two written tables, which adaptive execution splits when a key is hot. The
+texts are shuffled twice, by id; written tables go once nothing reads them.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .common import release, written
+from .common import dropped, kept, release, written
 
 MEMO = 500_000
-#: Windows of a text that are handled at once.
-BLOCK = 1 << 16
+#: Windows in a run at most; longer runs are cut.
+RUN = 200
 
 
 def _odd(n: int, seed: int) -> np.ndarray:
@@ -28,10 +30,10 @@ def _odd(n: int, seed: int) -> np.ndarray:
 
 
 class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes) -> bytes:
         import xxhash
 
-        h = xxhash.xxh64_intdigest(word, 11)
+        h = xxhash.xxh64_digest(word, 11)
         if len(self) >= MEMO:
             self.clear()
         if len(word) <= 64:
@@ -39,11 +41,11 @@ class WordHashes(dict):
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
-        return np.array(list(map(self.__getitem__, words)), np.uint64)
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64)
 
 
 def grams(h: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """A 64-bit hash of each k consecutive word hashes."""
+    """A 64-bit hash of each k consecutive word hashes. Groups also have the anchor's hash in their key, 128 bits in all."""
     n = len(h) - k + 1
     total = np.zeros(n, np.uint64)
     for j, c in enumerate(_odd(k, seed)):
@@ -80,7 +82,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 13, k: int = 5, id_col: st
     def anchored(batches):
         import pyarrow as pa
 
-        memo = WordHashes()
+        memo = kept(("hashes",), WordHashes)
         for b in batches:
             index, found = [], []
             for i, t in enumerate(b.column(1)):
@@ -92,16 +94,19 @@ def substring_dedup(docs: DataFrame, *, window: int = 13, k: int = 5, id_col: st
             if found:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(index))), pa.array(np.concatenate(found).view(np.int64))], ["id", "anchor"])
 
-    seeds = valid.mapInArrow(anchored, f"id {kind}, anchor long")
-    shared = written(seeds.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("anchor"), "anchors")
+    seeds = written(valid.mapInArrow(anchored, f"id {kind}, anchor long"), "anchors")
+    shared = written(seeds.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("anchor"), "shared")
+    release(spark)
     per_doc = written(seeds.join(shared, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors")), "seeds")
+    dropped(seeds, shared)
     release(spark)
 
     def extended(batches):
         import pyarrow as pa
 
-        memo = WordHashes()
+        memo = kept(("hashes",), WordHashes)
         for b in batches:
+            index, cols, wins, sizes = [], [[], [], []], [], []
             for i in range(b.num_rows):
                 text, seeds = b.column(1)[i].as_py(), np.sort(b.column(2)[i].values.to_numpy().view(np.uint64))
                 words = text.encode().split()
@@ -112,17 +117,40 @@ def substring_dedup(docs: DataFrame, *, window: int = 13, k: int = 5, id_col: st
                 at = np.flatnonzero(seeds[np.minimum(np.searchsorted(seeds, a), len(seeds) - 1)] == a)
                 if not len(at):
                     continue
-                one, two = grams(h, window, 31)[at], grams(h, window, 41)[at]
-                mark = at.astype(np.int64) | (row_tag(text) << 32)
-                for j in range(0, len(at), BLOCK):
-                    m = slice(j, j + BLOCK)
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(at[m]), i))), *(pa.array(x[m].view(np.int64)) for x in (one, two, mark))], ["id", "one", "two", "mark"])
-
-    windows = valid.join(per_doc, "id").select("id", "text", "anchors").mapInArrow(extended, f"id {kind}, one long, two long, mark long")
-    least = windows.groupBy("one", "two").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last")
-    # the third key makes the join deal out the least ids anew, so that both sides are plain exchanges and a hot window can be split
-    third = F.expr("one ^ two").alias("third")
-    covered = windows.select("*", third).join(least.select("*", third), ["one", "two", "third"]).where("first < id").groupBy("id").agg(F.collect_list("mark").alias("marks"))
+                w = grams(h, window, 31)[at]
+                new = np.concatenate(([True], (np.diff(at) != 1) | (a[at][1:] != a[at][:-1])))
+                first = np.flatnonzero(new)
+                first = np.flatnonzero(new | ((np.arange(len(at)) - first[np.cumsum(new) - 1]) % RUN == 0))
+                n = np.diff(np.concatenate((first, [len(at)])))
+                index.append(np.full(len(first), i))
+                # a run's hash: those of its first and last windows hold all its words, and its length
+                one = (w[first] * np.uint64(0x9E3779B97F4A7C15)) ^ (w[first + n - 1] * np.uint64(0xC2B2AE3D27D4EB4F) + n.astype(np.uint64))
+                mark = at[first].astype(np.int64) | (n.astype(np.int64) << 32) | (row_tag(text) << 40)
+                for col, x in zip(cols, (a[at][first], one, mark), strict=True):
+                    col.append(x.view(np.int64))
+                wins.append(w)
+                sizes.append(n)
+            if index:
+                offs = np.concatenate(([0], np.cumsum(np.concatenate(sizes)))).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate(wins).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.concatenate(index))), *(pa.array(np.concatenate(c)) for c in cols), lists], ["id", "anchor", "one", "mark", "wins"])
+
+    runs = written(valid.join(per_doc, "id").select("id", "text", "anchors").mapInArrow(extended, f"id {kind}, anchor long, one long, mark long, wins array<bigint>"), "runs")
+    dropped(per_doc)
+    release(spark)
+    first = written(runs.groupBy("anchor", "one").agg(F.min("id").alias("first"), F.max("id").alias("last")), "first")
+    many = written(first.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor", F.lit(True).alias("many")), "many")
+    of_run = written(first.join(many, "anchor", "left").where("many or first < last").select("anchor", "one", "first", F.coalesce("many", F.lit(False)).alias("many")), "of-run")
+    settled = runs.join(of_run, ["anchor", "one"]).where("id > first or many")
+    settled = written(settled.select("id", "anchor", "mark", (F.col("id") > F.col("first")).alias("covered"), F.expr("if(id > first, null, wins)").alias("wins")), "settled")
+    dropped(runs, first, many, of_run)
+    release(spark)
+    windows = settled.where("not covered").select("id", "anchor", "mark", F.posexplode("wins").alias("k", "win")).select("id", "anchor", "win", F.expr(f"(mark & {~(0xFF << 32)}L) + k + {1 << 32}L").alias("mark"))
+    least = written(windows.groupBy("anchor", "win").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").drop("last"), "least")
+    covered = windows.join(least, ["anchor", "win"]).where("first < id").select("id", "mark").unionByName(settled.where("covered").select("id", "mark"))
+    covered = written(covered.groupBy("id").agg(F.collect_list("mark").alias("marks")), "marks")
+    dropped(settled, least)
+    release(spark)
 
     def cut(batches):
         import pyarrow as pa
@@ -135,9 +163,10 @@ def substring_dedup(docs: DataFrame, *, window: int = 13, k: int = 5, id_col: st
                 gone = np.zeros(len(words) + 1, np.int64)
                 if marks.is_valid and len(words) >= window:
                     m = marks.values.to_numpy()
-                    at = (m & 0xFFFFFFFF)[(m >> 32) == row_tag(text)]
+                    m = m[(m >> 40) == row_tag(text)]
+                    at = m & 0xFFFFFFFF
                     np.add.at(gone, at, 1)
-                    np.add.at(gone, at + window, -1) if len(at) else None
+                    np.add.at(gone, at + ((m >> 32) & 0xFF) + window - 1, -1)
                 covered = np.cumsum(gone)[:-1] > 0
                 edge = np.flatnonzero(np.diff(np.concatenate(([0], covered.astype(np.int8), [0]))))
                 kept, at = [], 0
@@ -159,4 +188,4 @@ def row_tag(text: str) -> int:
     """Tells rows of one id apart."""
     import xxhash
 
-    return xxhash.xxh32_intdigest(text.encode()) >> 1
+    return xxhash.xxh32_intdigest(text.encode()) >> 9
