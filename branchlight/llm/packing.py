@@ -88,7 +88,7 @@ class Words(dict):
     def part(self, text: str) -> bytes:
         got = self.parts.get(text)
         if got is None:
-            tokens = self.model.tokenize(text.encode().decode("latin-1").translate(self.shown))
+            tokens = self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(self.shown))
             if len(self.parts) >= MEMO:
                 self.parts.clear()
             got = self.parts[text] = struct.pack(f"<{len(tokens)}{self.code}", *[t.id for t in tokens])
@@ -96,7 +96,9 @@ class Words(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         text = word.decode()
-        if max(text) < "\u0250" and not ODD.search(text):
+        if text.isalpha() and max(text) < "\u0250" and "\u0130" not in text:
+            got = self.part(text.lower())
+        elif max(text) < "\u0250" and not ODD.search(text):
             got = b"".join(map(self.part, SPLIT.findall(text.lower())))
         else:
             got = np.array(self.full.encode(text, add_special_tokens=False).ids, self.kind).tobytes()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import distance, normalise
 
@@ -18,6 +19,8 @@ def check_k(k: int) -> None:
 
 def ranked(pairs: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, content_id, distance), ties by content id."""
+    if not k:  # Spark refuses a rank limit of 0
+        return pairs.select("*", F.lit(0).alias("rank")).where(F.lit(False))
     order = Window.partitionBy("query_id").orderBy("distance", "content_id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
@@ -30,6 +33,7 @@ def knn_exact(items: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
     """
     check_k(k)
     kind, q_kind = items.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
+    arrow_id = to_arrow_type(queries.schema[query_id].dataType)
     rows = sorted(((r[0], r[1]) for r in queries.select(query_id, normalise(query_vector)).collect()), key=lambda r: (r[0] is None, r[0]))
     source = items.select(F.col(id_col).alias("content_id"), normalise(vector_col).alias("v")).where("v is not null")
     schema = f"query_id {q_kind}, content_id {kind}, distance double"
@@ -41,7 +45,7 @@ def knn_exact(items: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str
             import pyarrow as pa
 
             q = np.array([v for _, v in block]).reshape(len(block), -1)
-            names = pa.array([i for i, _ in block])
+            names = pa.array([i for i, _ in block], arrow_id)
             for b in batches:
                 if not b.num_rows or not len(block) or not k:
                     continue

@@ -458,3 +458,64 @@ def collapse_single_leaf(spark, sf_dir):
     name = lambda p: F.concat(F.lit("/"), F.array_join(p.cast("array<string>"), "/"))
     found = collapsed(rows.select(path).distinct())
     return found.select(name(F.col("path")).alias("node"), name(F.col("shown")).alias("shown"))
+
+
+def content_rows(spark, sf_dir, where: str = "true") -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").where(where)
+    return rows.select(F.col("vec_id").alias("ordinal"), F.col("vec_id").cast("string").alias("content_id"), F.concat(F.lit("v"), F.col("vec_id")).alias("text"), F.lit("{}").alias("metadata"), doubles("embedding").alias("embedding"))
+
+
+def grown(spark, sf_dir, **settings) -> DataFrame:
+    """Leaves of a tree built from the top: (depth, leaf size, unsplittable, contents)."""
+    from ..config import TreeConfig
+    from ..operators.split import divisive
+
+    rows = vectors(spark, sf_dir).select(F.col("content_id").alias("seq"), "vector")
+    leaves = divisive(rows, TreeConfig.of(**settings)).groupBy("path").agg(F.count("*").alias("n"), F.max("unsplittable").alias("unsplittable"))
+    return leaves.groupBy(F.size("path").alias("depth"), "n", "unsplittable").agg(F.count("*").alias("leaves"))
+
+
+@query()
+def divisive_fixed_tree(spark, sf_dir):
+    return grown(spark, sf_dir)
+
+
+@query()
+def divisive_adaptive_tree(spark, sf_dir):
+    return grown(spark, sf_dir, split_mode="adaptive", min_split_gain=0.005)
+
+
+@query("SELECT count(*) AS items, sum(vec_id)::DOUBLE AS total, max(vec_id) AS last FROM embeddings")
+def parquet_state_roundtrip(spark, sf_dir):
+    """A tree saved and loaded again: nothing is lost."""
+    import uuid
+
+    from ..sources.states import ParquetState
+    from .tree import Tree
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    state = ParquetState(spark, f"{base.rstrip('/')}/branchlight/state-{uuid.uuid4().hex}")
+    Tree(spark, state=state).ingest(content_rows(spark, sf_dir))
+    back = Tree(spark, state=state)
+    n = F.col("content_id").cast("long")
+    return back.items.agg(F.count("*").alias("items"), F.sum(n).cast("double").alias("total"), F.max(n).alias("last"))
+
+
+@query("SELECT count(*) AS items, max(vec_id) + 1 AS next_seq, count(*) AS in_root FROM embeddings")
+def stream_ingest_counts(spark, sf_dir):
+    """The table as a stream, ingested by micro-batches."""
+    import uuid
+
+    from ..config import TreeConfig
+    from ..streaming.ingest import stream_into
+    from .tree import Tree
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
+    at = f"{base.rstrip('/')}/branchlight/stream-{uuid.uuid4().hex}"
+    content_rows(spark, sf_dir).repartition(3, "ordinal").write.parquet(f"{at}/in")
+    tree = Tree(spark, TreeConfig(leaf_target=40))
+    rows = spark.readStream.schema(content_rows(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    stream_into(tree, rows, f"{at}/marks").awaitTermination()
+    root = tree.nodes.where(F.size("path") == 0).select(F.col("count").alias("in_root"))
+    counts = tree.items.agg(F.count("*").alias("items"), (F.max("seq") + 1).alias("next_seq"))
+    return counts.join(F.broadcast(root)).select("items", "next_seq", "in_root")
