@@ -88,7 +88,7 @@ class Words(dict):
     def part(self, text: str) -> bytes:
         got = self.parts.get(text)
         if got is None:
-            tokens = self.model.tokenize(text if text.isascii() else text.encode().decode("latin-1").translate(self.shown))
+            tokens = self.model.tokenize(text if text.isascii() and text.isprintable() else text.encode().decode("latin-1").translate(self.shown))
             if len(self.parts) >= MEMO:
                 self.parts.clear()
             got = self.parts[text] = struct.pack(f"<{len(tokens)}{self.code}", *[t.id for t in tokens])
