@@ -158,7 +158,7 @@ def quality_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id",
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1), b.column(2)], ["x", "label", "half"])
 
     rows = sorted((r["x"], r["label"], r["half"]) for r in sample.mapInArrow(run, "x array<double>, label int, half int").collect())
-    x = np.array([r[0] for r in rows]).reshape(len(rows), -1)
+    x = np.array([r[0] for r in rows]).reshape(len(rows), len(rows[0][0]) if rows else 1)
     return fit(x, np.array([r[1] for r in rows], int), np.array([r[2] for r in rows], int))
 
 
