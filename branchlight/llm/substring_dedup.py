@@ -29,6 +29,10 @@ def _odd(n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).integers(1, 1 << 63, n, dtype=np.uint64) | np.uint64(1)
 
 
+#: A factor for each place in a run.
+PLACES = _odd(RUN, 41)
+
+
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> bytes:
         import xxhash
@@ -65,6 +69,13 @@ def anchors(h: np.ndarray, window: int, k: int) -> np.ndarray:
     return least
 
 
+def run_hashes(w: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run: of all its n windows w[first : first + n], each by its place there. The first and the last don't hold all words of a long run."""
+    mixed = w * PLACES[np.arange(len(w)) - np.repeat(first, n)]
+    mixed ^= mixed >> np.uint64(32)
+    return np.add.reduceat(mixed * np.uint64(0x9E3779B97F4A7C15), first) + n.astype(np.uint64)
+
+
 def substring_dedup(docs: DataFrame, *, window: int = 13, k: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> (id, n_words, n_removed, kept, spans), one row per input row.
 
@@ -123,8 +134,7 @@ def substring_dedup(docs: DataFrame, *, window: int = 13, k: int = 5, id_col: st
                 first = np.flatnonzero(new | ((np.arange(len(at)) - first[np.cumsum(new) - 1]) % RUN == 0))
                 n = np.diff(np.concatenate((first, [len(at)])))
                 index.append(np.full(len(first), i))
-                # a run's hash: those of its first and last windows hold all its words, and its length
-                one = (w[first] * np.uint64(0x9E3779B97F4A7C15)) ^ (w[first + n - 1] * np.uint64(0xC2B2AE3D27D4EB4F) + n.astype(np.uint64))
+                one = run_hashes(w, first, n)
                 mark = at[first].astype(np.int64) | (n.astype(np.int64) << 32) | (row_tag(text) << 40)
                 for col, x in zip(cols, (a[at][first], one, mark), strict=True):
                     col.append(x.view(np.int64))

@@ -54,6 +54,27 @@ def test_substring_dedup(spark, docs):
     assert got == want and sum(x[1] for x in want.values()) > 1000
 
 
+def test_substring_dedup_of_records_that_differ_in_the_middle(spark):
+    """Lines of one template, whose anchor recurs, so that runs are long; the copy has one other value."""
+    from branchlight.llm.substring_dedup import substring_dedup
+
+    rng, texts = np.random.default_rng(6), []
+    for p in range(300):
+        records = [[*(f"t{p}x{k}" for k in range(5)), f"v{v}"] for v in rng.integers(0, 1 << 40, 12)]
+        texts.append([w for r in records for w in r])
+        records[int(rng.integers(3, 9))][5] = "edited"
+        texts.append([w for r in records for w in r])
+    first, want = {}, {}
+    for i, w in enumerate(texts):
+        gone = np.zeros(len(w), bool)
+        for k in range(len(w) - 12):
+            if first.setdefault(tuple(w[k : k + 13]), i) < i:
+                gone[k : k + 13] = True
+        want[i] = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: r["kept"] for r in substring_dedup(docs).collect()} == want
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 
