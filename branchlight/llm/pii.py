@@ -12,12 +12,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 ROUNDS = 8
+KEYS = "(?i:password|passwd|pwd|secret|api_key|apikey|token)"
+HEX = "(?:[0-9A-Fa-f]{64}|[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32})"
+#: What stands alone as a hexadecimal or access key is one too where it is assigned, so that it has one pseudonym.
+OWN = rf"(?![\"']?(?:{HEX}|(?:AKIA|ASIA)[A-Z0-9]{{16}})(?:[\"'\s,;)]|$))"
 #: One alternative for each kind, the first that matches at a place counts. No group catches anything: split() and extraction agree.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "password": r"(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|api_key|apikey|token)=[^\s\"'<>&]{6,}",
-    "hex": r"(?<![A-Za-z0-9])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9])",
+    # quoted; or after =; or after : where a digit tells it from prose
+    "password": rf"(?<![A-Za-z0-9]){KEYS}[\"']?[ \t]*+(?:[=:][ \t]*+{OWN}(?:\"[^\"\r\n]{{6,}}\"|'[^'\r\n]{{6,}}')|(?:=[ \t]*+|:[ \t]*+(?=[^\s\"'<>&]*[0-9])){OWN}[^\s\"'<>&]{{6,}})",
+    "hex": rf"(?<![A-Za-z0-9]){HEX}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "date": r"(?<![\p{L}\p{N}./-])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)[0-9]{2})(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])",
@@ -27,7 +32,7 @@ KINDS = {
 }
 FINDER = "|".join(KINDS.values())
 #: Any text with a value has one of these; others are passed on as they are.
-CUE = r"[0-9]|@|password=|passwd=|pwd=|secret=|api_key=|apikey=|token="
+CUE = rf"[0-9]|@|{KEYS}[\"']?[ \t]*[=:]"
 FIRST_DAY, DAYS, LEFT, RIGHT = "1900-01-01", 73_049, 17, 4_297  # LEFT * RIGHT days from 1900 to 2099
 
 
@@ -40,6 +45,11 @@ def let(name: str, value: str, body: str) -> str:
     return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
+def literal(pattern: str) -> str:
+    """SQL: a regular expression as a string."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def feistel(x: str, sizes: str, key: str) -> str:
     """SQL: array x of numbers below `sizes`, moved one to one.
 
@@ -69,7 +79,10 @@ def mod97(iban: str) -> str:
 def moved(body: str, key: str, kind: str) -> str:
     """SQL: body with its letters and digits permuted, each within its alphabet, and its marks where they were."""
     bare = let("bd", body, "BARE")
-    alphabet = {"hex": "'0123456789abcdef'", "secret": f"'{LETTERS.upper()}0123456789'"}.get(kind, f"case when c between '0' and '9' then '0123456789' when c between 'a' and 'z' then '{LETTERS}' else '{LETTERS.upper()}' end")
+    # a hexadecimal value in both cases keeps the case of each letter
+    both = "case when c between '0' and '9' then '0123456789' when c between 'a' and 'f' then 'abcdef' else 'ABCDEF' end"
+    hexadecimal = f"case when not ba rlike '[A-F]' then '0123456789abcdef' when not ba rlike '[a-f]' then '0123456789ABCDEF' else {both} end"
+    alphabet = {"hex": hexadecimal, "secret": f"'{LETTERS.upper()}0123456789'"}.get(kind, f"case when c between '0' and '9' then '0123456789' when c between 'a' and 'z' then '{LETTERS}' else '{LETTERS.upper()}' end")
     chars = "transform(sequence(1, length(ba)), j -> substring(ba, j, 1))"
     perm = let("ch", chars, let("al", f"transform(ch, c -> {alphabet})", let("mv", feistel("zip_with(al, ch, (a1, c1) -> instr(a1, c1) - 1)", "transform(al, a1 -> length(a1))", key), "array_join(zip_with(mv, al, (v1, a1) -> substring(a1, v1 + 1, 1)), '')")))
     back = "array_join(transform(sequence(1, length(bd)), j -> if(substring(bd, j, 1) rlike '[A-Za-z0-9]', substring(pm, length(regexp_replace(substring(bd, 1, j), '[^A-Za-z0-9]', '')), 1), substring(bd, j, 1))), '')"
@@ -79,9 +92,16 @@ def moved(body: str, key: str, kind: str) -> str:
 def pseudonym(v: str, secret: str) -> str:
     """SQL: the pseudonym of a value that the finder found; the value itself where it isn't valid."""
     key = lambda kind: "'" + f"{secret}:{kind}".replace("'", "''") + "'"
-    between = lambda kind, first, last: f"concat(substring({v}, 1, {first} - 1), {moved(f'substring({v}, {first}, {last} - {first} + 1)', key(kind), kind)}, substring({v}, {last} + 1))"
-    digits = f"regexp_replace({v}, '[^0-9]', '')"
-    card = let("cv", between("card", "2", f"(length({v}) - 1)"), let("cd", "regexp_replace(cv, '[^0-9]', '')", let("body", "concat(substring(cd, 1, length(cd) - 1), '0')", f"concat(substring(cv, 1, length(cv) - 1), cast((10 - {luhn('body')}) % 10 as string))")))
+    between = lambda kind, first, last, v=v: f"concat(substring({v}, 1, {first} - 1), {moved(f'substring({v}, {first}, {last} - {first} + 1)', key(kind), kind)}, substring({v}, {last} + 1))"
+    card = let("cv", between("card", "2", "(length(cw) - 1)", "cw"), let("cd", "regexp_replace(cv, '[^0-9]', '')", let("body", "concat(substring(cd, 1, length(cd) - 1), '0')", f"concat(substring(cv, 1, length(cv) - 1), cast((10 - {luhn('body')}) % 10 as string))")))
+    # a number may stand before or after a card: the card is the longest run of whole groups whose Luhn sum is right
+    begins_at = f"filter(sequence(1, length({v})), p1 -> p1 <= length({v}) - 12 and substring({v}, p1, 1) between '2' and '6' and (p1 = 1 or substring({v}, p1 - 1, 1) in (' ', '-')))"
+    digits = f"regexp_replace(substring({v}, p1, p2 - p1 + 1), '[^0-9]', '')"
+    valid = let("dg", digits, f"length(dg) between 13 and 19 and {luhn('dg')} = 0")
+    ends_at = f"filter(sequence(p1 + 12, length({v})), p2 -> (p2 = length({v}) or substring({v}, p2 + 1, 1) in (' ', '-')) and substring({v}, p2, 1) between '0' and '9' and {valid})"
+    span = f"array_max(flatten(transform({begins_at}, p1 -> transform({ends_at}, p2 -> struct(p2 - p1 as n, -p1 as b, p1 as f, p2 as t)))))"
+    card = let("sp", span, f"if(sp is null, {v}, concat(substring({v}, 1, sp.f - 1), {let('cw', f'substring({v}, sp.f, sp.n + 1)', card)}, substring({v}, sp.t + 1)))")
+    assigned = f"length(regexp_extract({v}, {literal(ASSIGNED)}, 0)) + 1"
     iban = let("iv", between("iban", "5", f"length({v})"), let("ic", "concat(substring(iv, 1, 2), '00', substring(iv, 5))", f"concat(substring(iv, 1, 2), lpad(cast(98 - {mod97(SPACELESS)} as string), 2, '0'), substring(iv, 5))"))
     octets = let("oc", f"transform(split({v}, '[.]'), o -> cast(o as int))", let("fe", feistel("array(oc[0] * 256 + oc[1], oc[2] * 256 + oc[3])", "array(65536, 65536)", key("ip")), "concat_ws('.', fe[0] div 256, fe[0] % 256, fe[1] div 256, fe[1] % 256)"))
 
@@ -91,27 +111,29 @@ def pseudonym(v: str, secret: str) -> str:
         return f"if({day} is null, {v}, {new})"
 
     begins = f"length(regexp_extract({v}, '^[+]([0-9]{{1,3}}[ .-]|[0-9]{{2}})', 0)) + 1"
-    whole = {k: f"{v} rlike '^(?:{p})$'" for k, p in PLAIN.items()}
+    whole = {k: f"{v} rlike {literal(f'^(?:{p})$')}" for k, p in PLAIN.items()}
     return f"""case
         when {v} is null then ''
+        when {whole['password']} then {between('password', f'({assigned})', f'length({v})')}
         when {whole['email']} then {between('email', '1', f"(instr({v}, '@') - 1)")}
         when {whole['secret']} then {between('secret', '5', f'length({v})')}
-        when {whole['password']} then {between('password', f"(instr({v}, '=') + 1)", f'length({v})')}
         when {whole['hex']} then {between('hex', '1', f'length({v})')}
         when {whole['date']} then case when {v} like '____-%' then {date('yyyy-MM-dd')} when {v} like '%/%' then {date('dd/MM/yyyy')} else {date('dd.MM.yyyy')} end
         when {whole['ip']} then if(forall(split({v}, '[.]'), o -> cast(o as int) <= 255), {octets}, {v})
-        when {whole['card']} then if({let('dg', digits, luhn('dg'))} = 0, {card}, {v})
+        when {whole['card']} then {card}
         when {whole['iban']} then if({let('iw', f"regexp_replace({v}, ' ', '')", mod97('iw'))} = 1, {iban}, {v})
         when {whole['ssn']} then {between('ssn', '1', f'length({v})')}
         else {between('phone', f'({begins})', f'length({v})')} end"""
 
 
+#: What stands before an assigned value.
+ASSIGNED = "^[A-Za-z_]+[\"']?[ \\t]*[=:][ \\t]*"
 #: What a value of each kind looks like when it stands alone.
 PLAIN = {
     "email": "[^@]+@[^@]+",
     "secret": "(AKIA|ASIA)[A-Z0-9]{16}",
-    "password": "[a-z_]+=.*",
-    "hex": "[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32}",
+    "password": f"{KEYS}[\"']?[ \\t]*[=:].*",
+    "hex": HEX,
     "date": "[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}[./][0-9]{2}[./][0-9]{4}",
     "ip": "([0-9]{1,3}[.]){3}[0-9]{1,3}",
     "card": "[2-6]([ -]?[0-9]){12,18}",
@@ -122,10 +144,9 @@ PLAIN = {
 
 def pseudonymised(text: str, secret: str) -> Column:
     """The text column with its values replaced; null stays null."""
-    quoted = FINDER.replace("\\", "\\\\").replace("'", "\\'")
-    cue = CUE.replace("\\", "\\\\")
-    joined = f"array_join(zip_with(split(`{text}`, '{quoted}', -1), regexp_extract_all(`{text}`, '{quoted}', 0), (p, v) -> concat(p, {pseudonym('v', secret)})), '')"
-    return F.expr(f"case when `{text}` rlike '{cue}' and `{text}` rlike '{quoted}' then {joined} else `{text}` end")
+    found, cue = literal(FINDER), literal(CUE)
+    joined = f"array_join(zip_with(split(`{text}`, {found}, -1), regexp_extract_all(`{text}`, {found}, 0), (p, v) -> concat(p, {pseudonym('v', secret)})), '')"
+    return F.expr(f"case when `{text}` rlike {cue} and `{text}` rlike {found} then {joined} else `{text}` end")
 
 
 def pseudonymise(docs: DataFrame, *, text_col: str = "text", secret: str = "branchlight") -> DataFrame:
@@ -139,8 +160,7 @@ def pseudonymise(docs: DataFrame, *, text_col: str = "text", secret: str = "bran
 
 def pseudonym_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", secret: str = "branchlight") -> DataFrame:
     """docs -> (id, n_values, n_replaced, text), one row per input row: the values found, those that were valid, the new text."""
-    quoted = FINDER.replace("\\", "\\\\").replace("'", "\\'")
-    found = F.expr(f"coalesce(regexp_extract_all(`{text_col}`, '{quoted}', 0), array())")
+    found = F.expr(f"coalesce(regexp_extract_all(`{text_col}`, {literal(FINDER)}, 0), array())")
     rows = docs.select(F.col(id_col), found.alias("found"), pseudonymised(text_col, secret).alias("text"))
     gone = F.size(F.filter("found", lambda v: ~F.contains(F.coalesce(F.col("text"), F.lit("")), v)))
     return rows.select(id_col, F.size("found").cast("long").alias("n_values"), gone.cast("long").alias("n_replaced"), "text")

@@ -125,6 +125,30 @@ def test_pseudonyms_keep_format_and_links(spark):
     assert other[0] != got[0] and [r["text"] for r in pseudonymise(df, secret="k").orderBy("doc_id").collect()] == got
 
 
+def test_pseudonyms_of_secrets_in_any_writing(spark):
+    import re
+
+    low, card, word = "0123456789abcdef" * 2 + "01234567", "4111111111111111", "hunter2Secret"
+    mixed = "Ab" + low[2:]
+    hexes = [f'token = "{low}"', f'TOKEN = "{low.upper()}"', f"sum {mixed}", low.upper() + low[:24].upper(), f"token={low}"]
+    keys = [f"PASSWORD={word}", f'token = "{word}"', f"Secret = {word}", f'"password": "{word}"', f"pwd: {word}", "password=p@ss1word", f"password={word}"]
+    cards = [f"{card} 123", f"{card} 7", f"345 {card}", "4111 1111 1111 1111 123", f"2 {card} 98"]
+    prose = ["the secret: patience wins", "a token = 5", "4111 1111 1111 1112 123"]
+    df = spark.createDataFrame(list(enumerate(hexes + keys + cards + prose)), "doc_id long, text string")
+    got = [r["text"] for r in pseudonymise(df, secret="k").orderBy("doc_id").collect()]
+    new = got[0][9:-1]
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"', got[0]) and new != low and got[4] == f"token={new}"
+    assert re.fullmatch(r'TOKEN = "[0-9A-F]{40}"', got[1]) and low.upper() not in got[1]
+    assert re.fullmatch(r"sum [A-F][a-f][0-9a-f]{38}", got[2]) and mixed not in got[2] and re.fullmatch("[0-9A-F]{64}", got[3]) and got[3] != hexes[3]
+    hidden = got[11][9:]
+    assert hidden != word and got[5:10] == [k.replace(word, hidden) for k in keys[:5]]
+    assert re.fullmatch(r"password=[a-z]@[a-z]{2}\d[a-z]{4}", got[10]) and "ss1word" not in got[10]
+    assert [len(t) for t in got] == [len(t) for t in hexes + keys + cards + prose]
+    fake = got[12][:16]
+    assert fake != card and got[12:17] == [f"{fake} 123", f"{fake} 7", f"345 {fake}", " ".join(fake[k : k + 4] for k in range(0, 16, 4)) + " 123", f"2 {fake} 98"]
+    assert got[17:] == prose
+
+
 def test_scores(odd, none, labels):
     for f, label in ((quality_scores, "quality"), (toxicity_scores, "toxic")):
         got = f(odd, labels, label_col=label).collect()
