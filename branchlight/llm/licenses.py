@@ -1,8 +1,9 @@
 """Licence recognition by sentence rules (operator 5). DataFrame functions only.
 
-A text is cut into sentences; each is normalised (lower case, marks and white space to single spaces, notices' years and
-names left out) and mapped to the identifier of a known licence sentence, exactly. A licence is recognised where the identifiers
-follow one another as one of its ordered rules asks. Narrow: the table of sentences is a literal of a few dozen entries.
+A text is normalised (lower case, marks and white space to single spaces, so that wrapped lines and comment marks don't count), with a
+break at blank lines and at . ! ? before white space. Known licence sentences are looked for between the breaks, also inside longer
+sentences, the longest at each place, and mapped to identifiers; a holder's name in them may be any. A licence is recognised where
+identifiers follow one another as one of its ordered rules asks. Narrow: the table of sentences is a literal of a few dozen entries.
 """
 
 from __future__ import annotations
@@ -51,6 +52,15 @@ SENTENCES: dict[str, str] = {
     "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer": "eb",
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "ec",
     "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "ed",
+    # SPDX
+    "spdx license identifier apache 2 0": "aa",
+    "spdx license identifier mit": "ba",
+    "spdx license identifier gpl 3 0": "ca",
+    "spdx license identifier cc by nc 4 0": "da",
+    "spdx license identifier cc by 4 0": "db",
+    "spdx license identifier cc by sa 4 0": "dc",
+    "spdx license identifier bsd 3 clause": "ee",
+    "spdx license identifier bsd 2 clause": "ef",
     "all rights reserved": "za",
 }
 
@@ -68,18 +78,28 @@ RULES: list[tuple[str, str, str]] = [
     ("CC-BY-4.0", "reference", "db"),
     ("CC-BY-SA-4.0", "reference", "dc"),
     ("BSD-3-Clause", "full", "ea eb ec ed"),
+    ("BSD-3-Clause", "reference", "ee"),
     ("BSD-2-Clause", "full", "ea eb ec"),
+    ("BSD-2-Clause", "reference", "ef"),
     ("All-Rights-Reserved", "notice", "za"),
 ]
 
-#: Sentences end at a line, or after . ; ! ? or : before white space. "2.0." keeps its inner full stop.
-END = r"\n+|(?<=[.;!?:])[ \t\r\x0B\x0C]+"
-#: Words that a known sentence can begin with: other sentences are not normalised.
-CUE = r"(?i)licen[sc]e|copyright|permi|redistribut|warrant|rights reserved|under cc|free software|neither the name"
+GAP = 2
+#: Blank lines, also those of comments, and . ! ? before white space. "2.0." keeps its inner full stop.
+BREAK = r"\n[^\p{L}\p{N}\n]*\n|(?<=[.!?])\s"
+#: Comment words at the beginning of a line; comment marks go with all other marks.
+COMMENT = r"(?m)^[ \t]*(?:rem|dnl)[ \t]"
+#: Any text with a known sentence has one of these; others are not normalised.
+CUE = r"(?i)licen[sc]e|copyright|permi|redistribut|warrant|rights[^\p{L}\p{N}]+reserved|under[^\p{L}\p{N}]+cc|free[^\p{L}\p{N}]+software|neither[^\p{L}\p{N}]+the"
+#: A holder's name, and what stands in its place in the known sentence.
+HOLDER, ANY = r"neither the name of (?:[\p{L}\p{N}]+[ \x01]+){1,12}?nor the names of (?:its|the) contributors", "neither the name of the copyright holder nor the names of its contributors"
+#: MIT-0 is another licence.
+KNOWN = r"(?<![\p{L}\p{N}])(?:" + "|".join(x + "(?! 0)" * x.endswith("identifier mit") for x in sorted(SENTENCES, key=len, reverse=True)) + r")(?![\p{L}\p{N}])"
 
 
-def normal(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^\p{L}\p{N}]+", " "))
+def normal(text: Column) -> Column:
+    broken = F.regexp_replace(F.regexp_replace(F.lower(text), COMMENT, ""), BREAK, "\x01")
+    return F.regexp_replace(F.regexp_replace(broken, r"[^\p{L}\p{N}\x01]+", " "), HOLDER, ANY)
 
 
 def licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -87,20 +107,20 @@ def licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
 
     sentence_ids: the known sentences' identifiers, joined by a space, in order. licenses: the recognised names in
     alphabetical order without repeats, joined by a comma; "" if there are none. rules: "name:rule" of each, likewise. Null texts count as
-    empty. A rule matches where its identifiers are consecutive among the known sentences.
+    empty. A rule matches where its identifiers follow one another among the known sentences, with at most GAP others between two.
     """
     known = F.create_map(*[F.lit(x) for x in chain.from_iterable(SENTENCES.items())])
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     # one regular expression over the whole text tells whether any sentence has a cue; the rest have no identifiers
-    some = F.when(F.col("t").rlike(CUE), F.filter(F.split("t", END), lambda s: s.rlike(CUE))).otherwise(F.array().cast("array<string>"))
-    rows = rows.select(id_col, F.filter(F.transform(some, lambda s: F.try_element_at(known, normal(s))), lambda x: x.isNotNull()).alias("ids"))
+    some = F.when(F.col("t").rlike(CUE), F.regexp_extract_all(normal(F.col("t")), F.lit(KNOWN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    rows = rows.select(id_col, F.transform(some, lambda s: F.try_element_at(known, s)).alias("ids"))
     rows = rows.select(id_col, F.size("ids").cast("long").alias("n_sentences"), F.array_join("ids", " ").alias("sentence_ids"))
     line = F.concat(F.lit(" "), F.col("sentence_ids"), F.lit(" "))
-    hit = lambda want, name: F.when(F.contains(line, F.lit(f" {want} ")), F.lit(name))
+    has = lambda want: line.rlike(" " + f"(?: [a-z]{{2}}){{0,{GAP}}} ".join(want.split()) + " ")
     # the two-clause rule begins the three-clause one
     def found(name, rule, want):
-        h = hit(want, name if rule is None else f"{name}:{rule}")
-        return F.when(~F.contains(line, F.lit(" ea eb ec ed ")), h) if name == "BSD-2-Clause" else h
+        h = F.when(has(want), F.lit(name if rule is None else f"{name}:{rule}"))
+        return F.when(~has("ea eb ec ed"), h) if (name, want) == ("BSD-2-Clause", "ea eb ec") else h
 
     names = F.array_sort(F.array_distinct(F.array_compact(F.array(*[found(n, None, w) for n, _, w in RULES]))))
     rules = F.array_sort(F.array_distinct(F.array_compact(F.array(*[found(n, r, w) for n, r, w in RULES]))))

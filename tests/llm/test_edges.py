@@ -102,6 +102,56 @@ def test_licence_rules(spark):
     assert got == ["MIT", "CC-BY-NC-4.0", "GPL-3.0", "", "Apache-2.0"]
 
 
+MIT = """MIT License
+
+Copyright (c) 2019-2021 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+THIRD = """
+
+3. Neither the name of Example Org, Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+GPL = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+
+
+def test_wrapped_licences(spark):
+    notes = "\n".join(f"# {line}".rstrip() for line in GPL.split("\n"))
+    other = BSD.replace("\n\n2.", "\n\nAll rights reserved.\n\n2.")
+    texts = [MIT, BSD, BSD + THIRD, GPL, notes, other, "This code is released under the MIT License.", "// SPDX-License-Identifier: MIT", "SPDX-License-Identifier: MIT-0", "Released under the.\n\nMIT License", "the limit license"]
+    got = [r["rules"] for r in licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got == ["MIT:full", "BSD-2-Clause:full", "BSD-3-Clause:full", "GPL-3.0:header", "GPL-3.0:header", "All-Rights-Reserved:notice,BSD-2-Clause:full", "MIT:reference", "MIT:reference", "", "", ""]
+
+
 def test_pseudonyms_keep_format_and_links(spark):
     import re
 
