@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import gc
 import uuid
 
@@ -11,30 +12,49 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: A component search goes on in one task when no more links than these are left.
 FINISH_EDGES = 12_000
+#: Rows of one key that a join leaves in one task; the key's other rows go to more tasks.
+HEAVY = 2_048
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one under /tmp only where the setting is missing, as in tests on one machine."""
+    """The folder of spark.checkpoint.dir. Where it is unset, one under /tmp on a single machine, as in tests; an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return (base or "file:///tmp/checkpoints").rstrip("/")
 
 
+_FOLDERS: dict = {}
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and outlives executors."""
+    """df as a table in the shared folder: it cuts the lineage and outlives executors. The application's tables go when it ends, unless dropped() sooner."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/branchlight/{what}-{uuid.uuid4().hex}"
+    top = f"{shared_dir(spark)}/branchlight/{spark.sparkContext.applicationId}"
+    if top not in _FOLDERS:
+        _FOLDERS[top] = spark
+        atexit.register(_delete, spark, top)
+    path = f"{top}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._branchlight_folder = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may be gone; what is left is only disk
+        pass
 
 
 def dropped(*tables: DataFrame) -> None:
     """Deletes written tables that nothing reads any more."""
     for t in tables:
-        spark = t.sparkSession
-        for folder in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
-            if f"{shared_dir(spark)}/branchlight/".split(":", 1)[-1].lstrip("/") in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        path = getattr(t, "_branchlight_folder", None)
+        if path:
+            _delete(t.sparkSession, path)
 
 
 _KEPT: dict = {}
@@ -66,6 +86,24 @@ def spread(*cols: str) -> Column:
     return F.xxhash64(*[F.col(c) for c in cols], F.lit(0x5BD1))
 
 
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str, how: str = "inner", heavy: int = HEAVY) -> DataFrame:
+    """left join right on key, right having at most one row of a key: a key with over `heavy` rows in left is dealt to several tasks by a hash of `by`.
+
+    The heavy keys, fewer than left's rows / heavy, are broadcast up to 100,000 of them, some MB; beyond that all keys are dealt to 16 tasks each.
+    """
+    sizes = written(left.groupBy(key).agg(F.count("*").alias("__n")).where(F.col("__n") > heavy).select(key, F.ceil(F.col("__n") / heavy).cast("int").alias("__copies")), "heavy")
+    n = sizes.count()
+    if not n:
+        return left.join(right, key, how)
+    if n <= 100_000:
+        left, right = (t.join(F.broadcast(sizes), key, "left").withColumn("__copies", F.coalesce("__copies", F.lit(1))) for t in (left, right))
+    else:
+        left, right = (t.withColumn("__copies", F.lit(16)) for t in (left, right))
+    left = left.withColumn("__part", F.pmod(F.xxhash64(by, F.lit(77)), F.col("__copies")).cast("int")).drop("__copies")
+    right = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__copies") - 1))).drop("__copies")
+    return left.join(right, [key, "__part"], how).drop("__part")
+
+
 def connected_components(edges: DataFrame, finish: int = FINISH_EDGES) -> DataFrame:
     """edges(u, v), any direction and with repeats -> (node, root), one row per node of an edge.
 
@@ -89,8 +127,10 @@ def connected_components(edges: DataFrame, finish: int = FINISH_EDGES) -> DataFr
         to = written(best.select(F.col("u").alias("node"), F.least(F.col("b"), here)["v"].alias("root")), "contract")
         steps.append(to)
         a, b = to.select(F.col("node").alias("u"), F.col("root").alias("ru")), to.select(F.col("node").alias("v"), F.col("root").alias("rv"))
-        moved = left.join(a, "u").join(b, "v").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
-        left = written(moved, "edges")
+        one = spread_join(left, a, "u", "v")
+        moved = spread_join(one, b, "v", "u").where("ru <> rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
+        was, left = left, written(moved, "edges")
+        dropped(was)
     else:
         raise RuntimeError("the contraction did not end")
 
@@ -114,12 +154,20 @@ def connected_components(edges: DataFrame, finish: int = FINISH_EDGES) -> DataFr
         return pd.DataFrame({"node": list(parent), "root": [find(x) for x in parent]})
 
     last = left.groupBy(F.lit(0).alias("one")).applyInPandas(end, f"node {kind.simpleString()}, root {kind.simpleString()}")
-    if not steps:
-        return last
     last = written(last, "contract")
+    dropped(left)
     # from the last round back: where a root of round i has gone since
     for to in reversed(steps):
         gone = last.select(F.col("node").alias("root"), F.col("root").alias("top"))
-        now = to.join(gone, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-        last = written(now.unionByName(last.join(to.select("node"), "node", "left_anti")), "contract")
+        now = spread_join(to, gone, "root", "node", "left").select("node", F.coalesce("top", "root").alias("root"))
+        was, last = last, written(now.unionByName(last.join(to.select("node"), "node", "left_anti")), "contract")
+        dropped(was, to)
     return last
+
+
+def component_ids(nodes: DataFrame, roots: DataFrame, least: str, out: str = "component") -> DataFrame:
+    """nodes(node, least, ...), one row a node, roots(node, root) -> nodes with `out`, the least `least` among the nodes of a root; a node without root is alone."""
+    rooted = written(nodes.join(roots, "node"), "rooted")
+    tops = written(rooted.groupBy("root").agg(F.min(least).alias(out)), "tops")
+    linked = spread_join(rooted, tops, "root", "node").select(*nodes.columns, out)
+    return linked.unionByName(nodes.join(roots, "node", "left_anti").withColumn(out, F.col(least)).select(*nodes.columns, out))

@@ -122,8 +122,69 @@ def test_simhash_tiles_find_what_all_pairs_find(spark):
     x = np.unique(np.array([b ^ np.uint64(sum({1 << int(k) for k in rng.integers(0, 64, rng.integers(0, 8))})) for b in base for _ in range(200)], np.uint64))
     signed = x.view(np.int64).tolist()
     want = [(signed[i], signed[j]) for i in range(len(x)) for j in np.flatnonzero(np.bitwise_count(x[i] ^ x) <= 4) if j > i]
-    got = [(r["u"], r["v"]) for r in links(spark.createDataFrame([(v,) for v in signed], "fp long"), 4, tile=16).collect()]
-    assert least_reachable(signed, got) == least_reachable(signed, want) and {frozenset(e) for e in got} <= {frozenset(e) for e in want}
+    for k in (1, 2, 3):
+        got = [(r["u"], r["v"]) for r in links(spark.createDataFrame([(v,) for v in signed], "fp long"), 4, tile=16, k=k).collect()]
+        assert least_reachable(signed, got) == least_reachable(signed, want) and {frozenset(e) for e in got} <= {frozenset(e) for e in want}
+
+
+def shingles(text):
+    w = (text or "").lower().encode().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else {()}
+
+
+def test_near_texts_against_jaccard(spark, docs):
+    """Groups against those of all pairs at Jaccard index 0.8; what is under 0.65 to all others of its group must not be there."""
+    from branchlight.llm.simhash import near_texts
+
+    sets = {d["doc_id"]: shingles(d["text"]) for d in docs}
+    inverted = defaultdict(list)
+    for i, s in sets.items():
+        for g in s:
+            inverted[g].append(i)
+    common = defaultdict(int)
+    for ids in inverted.values():
+        for a in range(len(ids)):
+            for b in range(a + 1, len(ids)):
+                common[ids[a], ids[b]] += 1
+    index = {p: n / (len(sets[p[0]]) + len(sets[p[1]]) - n) for p, n in common.items()}
+    got = {r["doc_id"]: r["component"] for r in near_texts(q.read(spark, SF, "documents")).collect()}
+    near = [p for p, j in index.items() if j >= 0.8]
+    found = [got[a] == got[b] for a, b in near]
+    assert near and np.mean(found) >= 0.9 and all(got[a] == got[b] for (a, b), j in index.items() if j >= 0.88)
+    fair = least_reachable(list(got), [p for p, j in index.items() if j >= 0.65])
+    assert all(fair[i] == fair[c] for i, c in got.items()) and len({c for c in got.values()}) < len(got)
+
+
+def test_near_texts_in_large_groups(spark):
+    """One base text, copies with some words changed and chains of edits, cut into tiles of 8: as in one tile."""
+    from branchlight.llm.simhash import near_texts
+
+    rng = np.random.default_rng(9)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for k in rng.integers(0, 200, i % 9):
+            w[k] = f"x{rng.integers(1 << 30)}"
+        rows.append(w)
+    w = list(base)
+    for i in range(60):  # a chain that leads away
+        w[(i * 3) % 200] = f"y{i}"
+        rows.append(list(w))
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    whole, cut = ({r["doc_id"]: r["component"] for r in near_texts(df, tile=t).collect()} for t in (4096, 8))
+    assert whole == cut and sum(c == 0 for c in cut.values()) > 120
+
+
+def test_spanning_reaches_what_all_pairs_reach():
+    from branchlight.llm.simhash import spanning
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 1 << 63, (5, 2), dtype=np.uint64)[rng.integers(0, 5, 300)]
+    x = x ^ np.array([[sum({1 << int(k) for k in rng.integers(0, 63, 5)}) for _ in range(2)] for _ in range(300)], np.uint64)
+    pairs = [(i, j) for i in range(300) for j in range(i) if int(np.bitwise_count(x[i] ^ x[j]).sum()) <= 14]
+    got = spanning(x, 14)
+    assert least_reachable(range(300), got) == least_reachable(range(300), pairs) and {frozenset(e) for e in got} <= {frozenset(e) for e in pairs} and pairs
 
 
 @pytest.mark.parametrize("sf", [SF, "/root/testdata/sf0.1"])
@@ -143,8 +204,9 @@ def test_embeddings(spark, sf):
     assert got == {i: (int(n), root[i], root[i] == i) for i, n in zip(ids, near.sum(1), strict=True)}
 
 
-def test_embedding_recall(spark):
-    """Pairs at cosines just over the bound, in one label, with large groups cut into tiles: recall over 0.9, none below the bound."""
+@pytest.mark.parametrize("size", [None, 32, 64, 128])
+def test_embedding_recall(spark, size):
+    """Pairs at cosines just over the bound, in one label, with large groups cut into tiles, at codebooks of larger tables: recall over 0.99, none below the bound."""
     from branchlight.llm.embedding_dedup import near_vectors
 
     rng = np.random.default_rng(3)
@@ -156,12 +218,35 @@ def test_embedding_recall(spark):
     near = u @ u.T >= 0.98
     np.fill_diagonal(near, False)
     rows = [(i, v.tolist(), 1) for i, v in enumerate(x)]
-    got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tile=16).collect()}
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), tile=16, size=size).collect()}
     n = near.sum(1)
     assert all(got[i] <= n[i] for i in range(len(x)))
     assert sum(got.values()) >= 0.99 * n.sum() > 0
 
 
+@pytest.mark.parametrize("kind", ["long", "smallint", "string", "decimal(9,0)"])
+def test_embeddings_of_repeated_ids(spark, kind):
+    """Each row is a vector of its own, whatever its id: vectors of one id in several labels and directions, against all pairs."""
+    from branchlight.llm.embedding_dedup import near_vectors
+
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal((6, 8))
+    rows = [(int(rng.integers(0, 12)), (base[rng.integers(0, 6)] + 0.03 * rng.standard_normal(8) * (k % 3)).tolist(), int(rng.integers(0, 3)) or None) for k in range(90)]
+    rows += rows[:9] + [(3, [0.0, -0.0, 1.0], 1), (4, [-0.0, 0.0, 1.0], 1)]
+    u = [np.array(v) / np.linalg.norm(v) for _, v, _ in rows]
+    links = [(i, j) for i in range(len(rows)) for j in range(i) if rows[i][2] is not None and rows[i][2] == rows[j][2] and len(u[i]) == len(u[j]) and u[i] @ u[j] >= 0.98]
+    root = least_reachable(range(len(rows)), links)
+    least, n = {}, defaultdict(int)
+    for i, r in root.items():
+        least[r] = min(least.get(r, 99), rows[i][0])
+    for i, j in links:
+        n[i] += 1
+        n[j] += 1
+    want = sorted((r[0], n[i], least[root[i]]) for i, r in enumerate(rows))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").selectExpr(f"cast({'lpad(vec_id, 2, 0)' if kind == 'string' else 'vec_id'} as {kind}) as vec_id", "embedding", "label")
+    assert sorted((int(r["vec_id"]), r["n_links"], int(r["component"])) for r in near_vectors(df).collect()) == want
+
+
 def test_token_counts(spark, docs):
     from tokenizers import Tokenizer
 
