@@ -8,13 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from branchlight.llm.common import written
+from branchlight.llm.common import dropped, written
 from branchlight.llm.decontamination import clean
 from branchlight.llm.packing import pack
 from branchlight.llm.pii import pseudonymise
 from branchlight.llm.quality import quality_model, score_column
 from branchlight.llm.queries import read, tokenizer
-from branchlight.llm.simhash import simhash
+from branchlight.llm.simhash import near_texts
 
 #: No SQL: a discriminant, fingerprints and a tokenizer's merges are beyond it. The tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -27,16 +27,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the least doc_id, once. Rows of null doc_id stay."""
-    found = written(simhash(docs, shingle=4, radius=4), "pipeline-simhash")
-    gone = found.where("doc_id <> component").select("doc_id", "fp")
-    repeated = found.where("doc_id = component").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
-    kept = docs.join(gone.select("doc_id").distinct(), "doc_id", "left_anti")
+    """One document of each group of near copies stays, that of the least doc_id, once: five-word shingles, similarity 0.8. Rows of null doc_id stay."""
+    digest = F.md5(F.coalesce("text", F.lit("")))
+    own = F.when(F.col("doc_id").isNotNull(), F.concat_ws("|", F.col("doc_id").cast("string"), digest))
+    found = near_texts(docs.where("doc_id is not null").select(F.struct("doc_id", digest.alias("digest")).alias("row"), "text"), shingle=5, similarity=0.8, id_col="row")
+    found = written(found.select("row", F.concat_ws("|", F.col("row.doc_id").cast("string"), "row.digest").alias("own"), (F.col("row") == F.col("component")).alias("first")), "pipeline-near")
+    repeated = found.where("first").groupBy("own").agg(F.count("*").alias("n")).where("n > 1").select(F.col("own").alias("__own"))
+    kept = docs.withColumn("__own", own).join(found.where("not first").select(F.col("own").alias("__own")).distinct(), "__own", "left_anti")
     if not repeated.isEmpty():
-        again = kept.join(repeated, "doc_id", "left_semi")
-        order = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-        once = again.withColumn("__turn", F.row_number().over(order)).where("__turn = 1").drop("__turn")
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
+        once = kept.join(repeated, "__own", "left_semi").withColumn("__turn", F.row_number().over(Window.partitionBy("__own").orderBy(F.lit(0)))).where("__turn = 1").drop("__turn")
+        kept = kept.join(repeated, "__own", "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 
 
@@ -61,5 +61,6 @@ STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("decontam
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        was, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(was)
     return STAGES[-1][1](spark, docs, sf_dir)
