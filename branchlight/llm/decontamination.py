@@ -1,9 +1,10 @@
 """Benchmark decontamination by rare n-gram seeds and Smith-Waterman alignment (operator 1).
 
-Each test item's n-grams of words that few other items share are its seeds; an item without such ones keeps all of its n-grams. A
+Each test item's n-grams of words that few other items share are its seeds; an item of which most n-grams are common keeps all of them. A
 document's n-grams are joined to the seeds; around each place where they meet, the item and the document's words are
-aligned locally, so edited, shortened and paraphrased copies score by what is left in order. Scores are shares of an item's own best.
-The items stand in an index of bounded size that every task has; larger benchmarks are taken in blocks of items, one pass over the
+aligned locally, so edited, shortened and paraphrased copies score by what is left in order. Scores are shares of an item's own best. Items of fewer than n
+words have one seed, all of their words, and are found where these stand together.
+The items stand in an index of bounded size, sorted arrays, that every task has; larger benchmarks are taken in blocks of items, one pass over the
 documents each, with the same result. Narrow: documents are never shuffled, and a common passage costs only its own rows.
 """
 
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import kept
 from .substring_dedup import grams
@@ -45,39 +47,48 @@ class TokenHashes(dict):
 
 
 class Index:
-    """Items by seed."""
+    """Items by seed, in arrays: the seeds of each length in ascending order, with item and place."""
 
     def __init__(self, items: list[tuple], n: int, rare: int = RARE):
         hashes = TokenHashes()
-        self.n, self.ids, self.tokens = n, [i for i, _ in items], [hashes.of(t) for _, t in items]
-        found: dict[int, set[int]] = {}
-        places: list[list[tuple[int, int]]] = []
-        for k, t in enumerate(self.tokens):
-            own = [(int(g), p) for p, g in enumerate(grams(t, n, 51))] if len(t) >= n else []
-            places.append(own)
-            for g, _ in own:
-                found.setdefault(g, set()).add(k)
-        seeds = []
-        for k, own in enumerate(places):
-            few = [(g, p) for g, p in own if len(found[g]) <= rare]
-            seeds += [(g, k, p) for g, p in (few or own)]
-        seeds.sort()
-        self.seed = np.array([s[0] for s in seeds], np.uint64)
-        self.item, self.place = (np.array([s[k] for s in seeds], np.int64) for k in (1, 2))
-        self.some = np.zeros(1 << 20, bool)
-        self.some[self.seed >> np.uint64(44)] = True
+        self.ids, self.tokens = [i for i, _ in items], [hashes.of(t) for _, t in items]
+        self.seeds: dict[int, tuple] = {}
+        for k in range(1, n + 1):
+            mine = [i for i, t in enumerate(self.tokens) if (len(t) >= n if k == n else len(t) == k)]
+            if not mine:
+                continue
+            own = [grams(self.tokens[i], k, 51) for i in mine]
+            seed, item, place = np.concatenate(own), np.repeat(np.array(mine, np.int32), [len(g) for g in own]), np.concatenate([np.arange(len(g), dtype=np.int32) for g in own])
+            if k == n:
+                # how many items have a seed, each counted once
+                one = np.unique(np.stack((seed, item.astype(np.uint64))), axis=1)[0]
+                known, count = np.unique(one, return_counts=True)
+                few = count[np.searchsorted(known, seed)] <= rare
+                most = np.bincount(item[few], minlength=len(items)) * 2 >= np.bincount(item, minlength=len(items))
+                keep = few | ~most[item]
+                seed, item, place = seed[keep], item[keep], place[keep]
+            order = np.argsort(seed, kind="stable")
+            some = np.zeros(1 << 20, bool)
+            some[seed >> np.uint64(44)] = True
+            self.seeds[k] = seed[order], item[order], place[order], some
 
     def hits(self, tokens: np.ndarray) -> dict[int, list[int]]:
         """item -> where in tokens the item would begin, by each seed that they share."""
-        if len(tokens) < self.n or not len(self.seed):
-            return {}
-        g = grams(tokens, self.n, 51)
-        at = np.flatnonzero(self.some[g >> np.uint64(44)])
-        left, right = np.searchsorted(self.seed, g[at], "left"), np.searchsorted(self.seed, g[at], "right")
         out: dict[int, list[int]] = {}
-        for d, a, b in zip(at[left < right].tolist(), left[left < right].tolist(), right[left < right].tolist(), strict=True):
-            for s in range(a, b):
-                out.setdefault(int(self.item[s]), []).append(d - int(self.place[s]))
+        for k, (seed, item, place, some) in self.seeds.items():
+            if len(tokens) < k:
+                continue
+            g = grams(tokens, k, 51)
+            at = np.flatnonzero(some[g >> np.uint64(44)])
+            left, right = np.searchsorted(seed, g[at], "left"), np.searchsorted(seed, g[at], "right")
+            n = right - left
+            if not n.any():
+                continue
+            ends = np.cumsum(n)
+            which = np.arange(ends[-1]) - np.repeat(ends - n, n) + np.repeat(left, n)
+            begin = np.repeat(at, n) - place[which]
+            for i, s in zip(item[which].tolist(), begin.tolist(), strict=True):
+                out.setdefault(i, []).append(s)
         return out
 
 
@@ -106,15 +117,18 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def leaks(tokens: np.ndarray, index: Index, least: float) -> list[tuple[int, float, int, int]]:
+def leaks(tokens: np.ndarray, index: Index, n: int, least: float) -> list[tuple[int, float, int, int]]:
     """(item, score, from, to) of each item found in a document's tokens, at its best place."""
     out = []
     for k, begins in index.hits(tokens).items():
         item = index.tokens[k]
-        n, slack = len(item), len(item) // 2 + 1
+        size, slack = len(item), len(item) // 2 + 1
+        if size < n:
+            out.append((k, 1.0, begins[0], begins[0] + size))
+            continue
         spans: list[list[int]] = []
         for s in sorted(begins):
-            a, b = max(0, s - slack), min(len(tokens), s + n + slack)
+            a, b = max(0, s - slack), min(len(tokens), s + size + slack)
             if spans and a <= spans[-1][1]:
                 spans[-1][1] = max(spans[-1][1], b)
             else:
@@ -124,13 +138,13 @@ def leaks(tokens: np.ndarray, index: Index, least: float) -> list[tuple[int, flo
         for a, b in spans:
             part = tokens[a:b]
             # no alignment has more matches than words in common
-            if 2 * int(np.isin(part, words).sum()) < least * 2 * n:
+            if 2 * int((words[np.minimum(np.searchsorted(words, part), len(words) - 1)] == part).sum()) < least * 2 * size:
                 continue
             s, i, j = align(item, part)
             if s > best[0]:
                 best = (s, a + i, a + j)
-        if best[0] >= least * 2 * n:
-            out.append((k, best[0] / (2 * n), best[1], best[2]))
+        if best[0] >= least * 2 * size:
+            out.append((k, best[0] / (2 * size), best[1], best[2]))
     return out
 
 
@@ -140,19 +154,20 @@ def blocks_of(benchmark: DataFrame, item_col: str, text_col: str, n: int, block_
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = int(size // block_bytes) + 1
     for k in range(blocks):
-        yield Index(sorted(((r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).distinct().collect()), key=lambda x: (x[0] is None, x[0] or 0, x[1])), n)
+        yield Index(sorted(((r["item"], r["text"]) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).distinct().collect()), key=lambda x: (x[0] is None, str(x[0]), x[1])), n)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs, benchmark -> (id, item, score, word_from, word_to): each item that a document holds, at its best place.
 
     score: the alignment's share of the item's score with itself, at least `least`. Words are runs of letters, digits and _,
-    compared in lower case. Null texts hold nothing; items with fewer than n words can't be told from chance and are not looked for.
+    compared in lower case. Null texts hold nothing; items with fewer than n words are found where all of them stand together, and items without words nowhere.
     A null id keeps its rows; repeated rows repeat; empty tables give no rows.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null")
     kinds = rows.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    arrow_item = to_arrow_type(benchmark.schema[item_col].dataType)
     found = None
     for index in blocks_of(benchmark, item_col, item_text_col, n, block_bytes):
         held = spark.sparkContext.broadcast(index)
@@ -162,32 +177,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, least: f
 
             hashes = kept(("tokens",), TokenHashes)
             for b in batches:
-                got = [(i, *x) for i, t in enumerate(b.column(1)) for x in leaks(hashes.of(t.as_py()), held.value, least)]
+                got = [(i, *x) for i, t in enumerate(b.column(1)) for x in leaks(hashes.of(t.as_py()), held.value, n, least)]
                 ids = [held.value.ids[x[1]] for x in got]
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([x[0] for x in got], pa.int64())), pa.array(ids, pa_type(pa, kinds[1])), pa.array([x[2] for x in got], pa.float64()), pa.array([x[3] for x in got], pa.int64()), pa.array([x[4] for x in got], pa.int64())], ["id", "item", "score", "word_from", "word_to"])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([x[0] for x in got], pa.int64())), pa.array(ids, arrow_item), pa.array([x[2] for x in got], pa.float64()), pa.array([x[3] for x in got], pa.int64()), pa.array([x[4] for x in got], pa.int64())], ["id", "item", "score", "word_from", "word_to"])
 
         part = rows.mapInArrow(run, f"id {kinds[0]}, item {kinds[1]}, score double, word_from long, word_to long")
         found = part if found is None else found.unionByName(part)
     return found.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def pa_type(pa, kind: str):
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = 5, least: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, *, n: int = 3, least: float = 0.5, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without the rows whose text holds an item, all columns as they were. Null texts stay."""
     for index in blocks_of(benchmark, item_col, item_text_col, n, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(index)
-        docs = docs.where(~leaked_column(held, least, text_col))
+        docs = docs.where(~leaked_column(held, n, least, text_col))
     return docs
 
 
-def leaked_column(held, least: float, text_col: str):
+def leaked_column(held, n: int, least: float, text_col: str):
     def leaked(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes = kept(("tokens",), TokenHashes)
         for t in parts:
-            yield pd.Series([bool(leaks(hashes.of(x), held.value, least)) for x in t], dtype=bool)
+            yield pd.Series([bool(leaks(hashes.of(x), held.value, n, least)) for x in t], dtype=bool)
 
     # the annotations are strings here, which pandas_udf can't resolve inside a function
     leaked.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[pd.Series]}
