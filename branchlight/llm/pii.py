@@ -1,9 +1,9 @@
 """Format-preserving pseudonyms for personal data (operator 6). DataFrame functions only.
 
-Values are found by one regular expression and validated: card numbers by the Luhn sum, addresses of the Internet by their
-ranges, dates by the calendar. Each is permuted by a keyed Feistel network over the characters that may vary, each within its own
+Values are found by one regular expression and validated: card numbers by issuer, length and Luhn sum, IBANs by their check digits, addresses of the Internet by their
+ranges, dates by the calendar, telephone and social security numbers by their numbering plans. Each is permuted by a keyed Feistel network over the characters that may vary, each within its own
 alphabet (digits, small and capital letters, hexadecimal digits), so a pseudonym has the value's length, marks and
-layout, equal values have equal pseudonyms in all documents, and no two values share one. Cards keep their first digit and
+layout, equal values have equal pseudonyms in all documents, and no two values share one. Cards keep their issuer's digits and
 end in the digit that makes the Luhn sum right; dates move within 1900 to 2099 by a Feistel network over day numbers. Narrow: texts never leave their rows.
 """
 
@@ -24,7 +24,7 @@ KINDS = {
     "password": rf"(?<![A-Za-z0-9]){KEYS}[\"']?[ \t]*+(?:[=:][ \t]*+{OWN}(?:\"[^\"\r\n]{{6,}}\"|'[^'\r\n]{{6,}}')|(?:=[ \t]*+|:[ \t]*+(?=[^\s\"'<>&]*[0-9])){OWN}[^\s\"'<>&]{{6,}})",
     "hex": rf"(?<![A-Za-z0-9]){HEX}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "date": r"(?<![\p{L}\p{N}./-])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)[0-9]{2})(?![\p{L}\p{N}])",
+    "date": r"(?<![\p{L}\p{N}./-])(?:(?:19|20)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])|(?:0[1-9]|[12][0-9]|3[01])[./](?:0[1-9]|1[0-2])[./](?:19|20)[0-9]{2}|(?:0[1-9]|1[0-2])/(?:1[3-9]|2[0-9]|3[01])/(?:19|20)[0-9]{2})(?![\p{L}\p{N}])",
     "ip": r"(?<![\p{L}\p{N}.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![\p{L}\p{N}]|\.[0-9])",
     "card": r"(?<![\p{L}\p{N}.-])[2-6](?:[ -]?[0-9]){12,18}(?![\p{L}\p{N}]|-[0-9])",
     "ssn": r"(?<![\p{L}\p{N}.-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}]|-[0-9])",
@@ -33,6 +33,11 @@ KINDS = {
 FINDER = "|".join(KINDS.values())
 #: Any text with a value has one of these; others are passed on as they are.
 CUE = rf"[0-9]|@|{KEYS}[\"']?[ \t]*[=:]"
+#: The digits that card numbers of each issuer begin with, and their lengths.
+ISSUERS = "^(4([0-9]{12}|[0-9]{15}|[0-9]{18})|5[1-5][0-9]{14}|2(22[1-9]|2[3-9][0-9]|[3-6][0-9]{2}|7[01][0-9]|720)[0-9]{12}|3[47][0-9]{13}|3(0[0-5]|[68][0-9])[0-9]{11}|35(2[89]|[3-8][0-9])[0-9]{12}|6(011|5[0-9]{2}|4[4-9][0-9])[0-9]{12,15}|(5018|5020|5038|6304|6759|676[1-3])[0-9]{8,15}|62[0-9]{14,17})$"
+#: Areas, groups and serials that no social security number has; North American numbers, and others with a trunk 0.
+NO_SSN = "^(000|666|9)|-00-|-0000$"
+NATIONAL = "^[(]?[2-9][0-9]{2}[)]?[ .-][2-9][0-9]{2}[ .-][0-9]{4}$|^[(]?0"
 FIRST_DAY, DAYS, LEFT, RIGHT = "1900-01-01", 73_049, 17, 4_297  # LEFT * RIGHT days from 1900 to 2099
 
 
@@ -93,11 +98,12 @@ def pseudonym(v: str, secret: str) -> str:
     """SQL: the pseudonym of a value that the finder found; the value itself where it isn't valid."""
     key = lambda kind: "'" + f"{secret}:{kind}".replace("'", "''") + "'"
     between = lambda kind, first, last, v=v: f"concat(substring({v}, 1, {first} - 1), {moved(f'substring({v}, {first}, {last} - {first} + 1)', key(kind), kind)}, substring({v}, {last} + 1))"
-    card = let("cv", between("card", "2", "(length(cw) - 1)", "cw"), let("cd", "regexp_replace(cv, '[^0-9]', '')", let("body", "concat(substring(cd, 1, length(cd) - 1), '0')", f"concat(substring(cv, 1, length(cv) - 1), cast((10 - {luhn('body')}) % 10 as string))")))
+    issuer = "if(cw like '4%', 2, length(regexp_extract(cw, '^([0-9][ -]?){4}', 0)) + 1)"
+    card = let("cv", between("card", issuer, "(length(cw) - 1)", "cw"), let("cd", "regexp_replace(cv, '[^0-9]', '')", let("body", "concat(substring(cd, 1, length(cd) - 1), '0')", f"concat(substring(cv, 1, length(cv) - 1), cast((10 - {luhn('body')}) % 10 as string))")))
     # a number may stand before or after a card: the card is the longest run of whole groups whose Luhn sum is right
     begins_at = f"filter(sequence(1, length({v})), p1 -> p1 <= length({v}) - 12 and substring({v}, p1, 1) between '2' and '6' and (p1 = 1 or substring({v}, p1 - 1, 1) in (' ', '-')))"
     digits = f"regexp_replace(substring({v}, p1, p2 - p1 + 1), '[^0-9]', '')"
-    valid = let("dg", digits, f"length(dg) between 13 and 19 and {luhn('dg')} = 0")
+    valid = let("dg", digits, f"dg rlike {literal(ISSUERS)} and {luhn('dg')} = 0")
     ends_at = f"filter(sequence(p1 + 12, length({v})), p2 -> (p2 = length({v}) or substring({v}, p2 + 1, 1) in (' ', '-')) and substring({v}, p2, 1) between '0' and '9' and {valid})"
     span = f"array_max(flatten(transform({begins_at}, p1 -> transform({ends_at}, p2 -> struct(p2 - p1 as n, -p1 as b, p1 as f, p2 as t)))))"
     card = let("sp", span, f"if(sp is null, {v}, concat(substring({v}, 1, sp.f - 1), {let('cw', f'substring({v}, sp.f, sp.n + 1)', card)}, substring({v}, sp.t + 1)))")
@@ -105,11 +111,18 @@ def pseudonym(v: str, secret: str) -> str:
     iban = let("iv", between("iban", "5", f"length({v})"), let("ic", "concat(substring(iv, 1, 2), '00', substring(iv, 5))", f"concat(substring(iv, 1, 2), lpad(cast(98 - {mod97(SPACELESS)} as string), 2, '0'), substring(iv, 5))"))
     octets = let("oc", f"transform(split({v}, '[.]'), o -> cast(o as int))", let("fe", feistel("array(oc[0] * 256 + oc[1], oc[2] * 256 + oc[3])", "array(65536, 65536)", key("ip")), "concat_ws('.', fe[0] div 256, fe[0] % 256, fe[1] div 256, fe[1] % 256)"))
 
-    def date(style: str) -> str:
+    def date(style: str, after: int = 0) -> str:
+        """after: the pseudonym's day is one after it, as the value's is; the permutation goes on until that is so."""
         day = f"try_to_date({v}, '{style}')"
-        new = let("dn", f"datediff({day}, date'{FIRST_DAY}')", let("fd", feistel(f"array(cast(dn div {RIGHT} as int), cast(dn % {RIGHT} as int))", f"array({LEFT}, {RIGHT})", key("date")), f"date_format(date_add(date'{FIRST_DAY}', fd[0] * {RIGHT} + fd[1]), '{style}')"))
+        move = lambda n: let("fd", feistel(f"array(cast({n} div {RIGHT} as int), cast({n} % {RIGHT} as int))", f"array({LEFT}, {RIGHT})", key("date")), f"fd[0] * {RIGHT} + fd[1]")
+        number = move("dn")
+        if after:
+            number = f"aggregate(sequence(1, 64), {number}, (t, k) -> if(day(date_add(date'{FIRST_DAY}', cast(t as int))) > {after}, t, {move('t')}))"
+        new = let("dn", f"datediff({day}, date'{FIRST_DAY}')", f"date_format(date_add(date'{FIRST_DAY}', cast({number} as int)), '{style}')")
         return f"if({day} is null, {v}, {new})"
 
+    numbers = f"length(regexp_replace({v}, '[^0-9]', ''))"
+    phone = f"{numbers} between 8 and 15 and ({v} like '+%' or {v} rlike {literal(NATIONAL)} and {numbers} between 9 and 12)"
     begins = f"length(regexp_extract({v}, '^[+]([0-9]{{1,3}}[ .-]|[0-9]{{2}})', 0)) + 1"
     whole = {k: f"{v} rlike {literal(f'^(?:{p})$')}" for k, p in PLAIN.items()}
     return f"""case
@@ -118,12 +131,12 @@ def pseudonym(v: str, secret: str) -> str:
         when {whole['email']} then {between('email', '1', f"(instr({v}, '@') - 1)")}
         when {whole['secret']} then {between('secret', '5', f'length({v})')}
         when {whole['hex']} then {between('hex', '1', f'length({v})')}
-        when {whole['date']} then case when {v} like '____-%' then {date('yyyy-MM-dd')} when {v} like '%/%' then {date('dd/MM/yyyy')} else {date('dd.MM.yyyy')} end
+        when {whole['date']} then case when {v} like '____-%' then {date('yyyy-MM-dd')} when {v} rlike '^../(1[3-9]|[23])' then {date('MM/dd/yyyy', 12)} when {v} like '%/%' then {date('dd/MM/yyyy')} else {date('dd.MM.yyyy')} end
         when {whole['ip']} then if(forall(split({v}, '[.]'), o -> cast(o as int) <= 255), {octets}, {v})
         when {whole['card']} then {card}
         when {whole['iban']} then if({let('iw', f"regexp_replace({v}, ' ', '')", mod97('iw'))} = 1, {iban}, {v})
-        when {whole['ssn']} then {between('ssn', '1', f'length({v})')}
-        else {between('phone', f'({begins})', f'length({v})')} end"""
+        when {whole['ssn']} then if({v} rlike {literal(NO_SSN)}, {v}, {between('ssn', '1', f'length({v})')})
+        else if({phone}, {between('phone', f'({begins})', f'length({v})')}, {v}) end"""
 
 
 #: What stands before an assigned value.
@@ -142,25 +155,35 @@ PLAIN = {
 }
 
 
-def pseudonymised(text: str, secret: str) -> Column:
-    """The text column with its values replaced; null stays null."""
+def pieces(text: str, secret: str) -> tuple[Column, Column]:
+    """The values found in the text column, in order, and what takes their places; empty arrays where there are none."""
     found, cue = literal(FINDER), literal(CUE)
-    joined = f"array_join(zip_with(split(`{text}`, {found}, -1), regexp_extract_all(`{text}`, {found}, 0), (p, v) -> concat(p, {pseudonym('v', secret)})), '')"
-    return F.expr(f"case when `{text}` rlike {cue} and `{text}` rlike {found} then {joined} else `{text}` end")
+    values = F.expr(f"case when `{text}` rlike {cue} then regexp_extract_all(`{text}`, {found}, 0) else cast(array() as array<string>) end")
+    return values, F.expr(f"transform(__found, v -> {pseudonym('v', secret)})")
 
 
-def pseudonymise(docs: DataFrame, *, text_col: str = "text", secret: str = "branchlight") -> DataFrame:
-    """docs with text_col replaced and all other columns as they were, whatever their names.
+def with_pieces(docs: DataFrame, text_col: str, secret: str) -> DataFrame:
+    """docs with __found and __new; their text goes together again in joined()."""
+    values, new = pieces(text_col, secret)
+    return docs.withColumn("__found", values).withColumn("__new", new)
+
+
+def joined(text: str) -> Column:
+    return F.expr(f"if(coalesce(size(__found), 0) > 0, array_join(zip_with(split(`{text}`, {literal(FINDER)}, -1), __new, (p, v) -> concat(p, coalesce(v, ''))), ''), `{text}`)")
+
+
+def pseudonymise(docs: DataFrame, *, secret: str, text_col: str = "text") -> DataFrame:
+    """docs with text_col replaced and all other columns as they were, whatever their names (but __found and __new).
 
     Null and empty texts stay. Repeated rows stay. A text without values comes back unchanged. Invalid values stay.
-    secret: the key of the permutations; whoever has it can undo them.
+    secret: the key of the permutations; whoever has it can undo them. It stands in the query's plan, so keep event logs as safe as the key, or set
+    spark.sql.redaction.string.regex.
     """
-    return docs.withColumn(text_col, pseudonymised(text_col, secret))
+    return with_pieces(docs, text_col, secret).withColumn(text_col, joined(text_col)).select(*docs.columns)
 
 
-def pseudonym_report(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", secret: str = "branchlight") -> DataFrame:
-    """docs -> (id, n_values, n_replaced, text), one row per input row: the values found, those that were valid, the new text."""
-    found = F.expr(f"coalesce(regexp_extract_all(`{text_col}`, {literal(FINDER)}, 0), array())")
-    rows = docs.select(F.col(id_col), found.alias("found"), pseudonymised(text_col, secret).alias("text"))
-    gone = F.size(F.filter("found", lambda v: ~F.contains(F.coalesce(F.col("text"), F.lit("")), v)))
-    return rows.select(id_col, F.size("found").cast("long").alias("n_values"), gone.cast("long").alias("n_replaced"), "text")
+def pseudonym_report(docs: DataFrame, *, secret: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs -> (id, n_values, n_replaced, text), one row per input row: the values found, those that were valid and so replaced, each at its place, the new text."""
+    rows = with_pieces(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text", secret)
+    n = F.expr("coalesce(size(filter(zip_with(__found, __new, (v, w) -> v <> w), x -> x)), 0)")
+    return rows.select(F.col("__id").alias(id_col), F.expr("coalesce(size(__found), 0)").cast("long").alias("n_values"), n.cast("long").alias("n_replaced"), joined("__text").alias("text"))
