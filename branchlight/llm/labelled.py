@@ -20,6 +20,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, *, held_
     mine = mine.where(~held_out("id"))
     n = mine.count()
     share = 1.0 if n <= at_most else at_most / n
-    chosen = mine.where(F.pmod(F.xxhash64("id", F.lit(99)), F.lit(1_000_000)) < int(share * 1_000_000))
+    chosen = mine.where(F.pmod(F.xxhash64("id", F.lit(99)), F.lit(1 << 62)) < round(share * (1 << 62)))
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return texts.join(F.broadcast(chosen), "id").select("text", "label", F.pmod(F.xxhash64("id", F.lit(98)), F.lit(2)).cast("int").alias("half"))

@@ -1,10 +1,12 @@
 """Toxicity by Levenshtein automata over a lexicon trie (operator 10).
 
 The lexicon is learned from labelled texts: whole words, and stems (word beginnings) whose words differ. A text's word is
-turned into a Levenshtein automaton, which is run along the lexicon's trie; terms that it accepts are misspelled or exact hits.
-A word is looked up in the trie only if a half of some term stands where one error would leave it, an exact test, not a filter that loses hits.
+turned into a Levenshtein automaton, in which swapped neighbours count as one error, and which is run along the lexicon's trie; terms that it accepts are misspelled or exact
+hits. Whole terms of 4 characters on may have one error, of 8 on two, stems of 6 one; words of any length are looked up. A word is run only if a term is left
+where as many characters are deleted from both as may be wrong, an exact test that loses no hit. A misspelled form that clean labelled texts
+use as a word of their own has no weight, or less.
 Each hit is scored in a window of words around it: quotation marks and words of reporting speak for quotation, second persons
-and further hits for abuse. A logistic regression on the sums of both kinds gives the score. One narrow pass over whole texts.
+and further hits for abuse. A logistic regression on the sums of both kinds, exact and misspelled, gives the score. One narrow pass over whole texts.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ FIT_ROWS = 12_000
 #: A term's least number of contexts in toxic texts, the least number as a share of those texts, and the least log odds.
 MIN_TEXTS, MIN_SHARE, MIN_ODDS = 4, 0.01, 4.0
 STEMS = (4, 5, 6)
+#: A term of this length or more is only matched as it is written.
+LONG = 64
 WINDOW = 6
 MEMO = 400_000
 EDGE = ".,;:!?\"'()[]{}<>*&$%#|«»“”„‘’…-_~`/\\"
@@ -33,36 +37,56 @@ ADDRESS = frozenset("you your you're u ur du dich dir ihr tu te toi vous eres t
 
 
 class Automaton:
-    """The Levenshtein automaton of a word: states are rows of edit distances, cut off above d."""
+    """The Levenshtein automaton of a word: a state is the row of edit distances, cut off above d, the row before it and the last character."""
 
     def __init__(self, word: str, d: int):
         self.word, self.d, self.moves = word, d, {}
 
     def start(self) -> tuple:
-        return tuple(min(i, self.d + 1) for i in range(len(self.word) + 1))
+        return tuple(min(i, self.d + 1) for i in range(len(self.word) + 1)), None, ""
 
     def step(self, state: tuple, ch: str) -> tuple:
         got = self.moves.get((state, ch))
         if got is None:
-            row, most = [min(state[0] + 1, self.d + 1)], self.d + 1
+            (old, before, last), most = state, self.d + 1
+            row = [min(old[0] + 1, most)]
             for i, c in enumerate(self.word):
-                row.append(min(row[-1] + 1, state[i] + (c != ch), state[i + 1] + 1, most))
-            got = self.moves[state, ch] = tuple(row)
+                v = min(row[-1] + 1, old[i] + (c != ch), old[i + 1] + 1, most)
+                if before is not None and i and c == last and self.word[i - 1] == ch:
+                    v = min(v, before[i - 1] + 1)
+                row.append(v)
+            got = self.moves[state, ch] = (tuple(row), old, ch)
         return got
 
     def alive(self, state: tuple) -> bool:
-        return min(state) <= self.d
+        return min(state[0]) <= self.d
+
+
+def deletions(word: str, d: int) -> set[str]:
+    """word, and what up to d deletions leave of it."""
+    out = last = {word}
+    for _ in range(d):
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        out = out | last
+    return out
+
+
+def errors(text: str, stem: bool) -> int:
+    """Errors that a term may have: short ones would meet too many other words."""
+    n = len(text)
+    return 0 if n >= LONG else int(n >= 6) if stem else (n >= 4) + (n >= 8)
 
 
 @dataclass
 class Lexicon:
-    """Terms with weights. A whole term must match a whole word, a stem the beginning of one."""
+    """Terms with weights. A whole term must match a whole word, a stem the beginning of one. forms: factors of misspelled forms, 1 where absent."""
 
     terms: dict[tuple[str, bool], float]  # (text, is a stem) -> weight
+    forms: dict[str, float] = field(default_factory=dict)
     trie: dict = field(default_factory=dict)
-    heads: set = field(default_factory=set)
-    tails: set = field(default_factory=set)
-    exact: set = field(default_factory=set)
+    left: list = field(default_factory=lambda: [set(), set(), set()])  # of whole terms with 0, 1 and 2 errors, what deletions leave
+    stems: set = field(default_factory=set)
+    loose_stems: set = field(default_factory=set)
 
     def __post_init__(self):
         for (text, stem), w in self.terms.items():
@@ -70,24 +94,34 @@ class Lexicon:
             for ch in text:
                 node = node.setdefault(ch, {})
             node.setdefault("", []).append((text, stem, w))
-            if self.errors(text):
-                self.heads.add(text[:3])
-                self.tails.add(text[3:6])
+            d = errors(text, stem)
+            if stem:
+                self.stems.add(text)
+                self.loose_stems |= deletions(text, 1) if d else set()
             else:
-                self.exact.add(text)
-
-    @staticmethod
-    def errors(text: str) -> int:
-        """Errors that a term of this length may have: short terms would meet other words."""
-        return int(len(text) >= 6)
+                self.left[d] |= deletions(text, d)
+        whole = [[len(t) for t, stem in self.terms if not stem and errors(t, stem) == d] for d in (1, 2)]
+        self.spans = [(min(n) - d, max(n) + d) if n else (1, 0) for d, n in enumerate(whole, 1)]
+        self.exact = {t for t, stem in self.terms if not stem}
+        self.starts = sorted({len(t) for t in self.stems})
+        self.loose_starts = sorted({len(t) + e for t in self.stems if errors(t, True) for e in (-1, 0, 1)})
+
+    def may_match(self, word: str) -> bool:
+        if word in self.exact or any(word[:k] in self.stems for k in self.starts):
+            return True
+        for d, (short, long) in enumerate(self.spans, 1):
+            if short <= len(word) <= long and not self.left[d].isdisjoint(deletions(word, d)):
+                return True
+        return any(not self.loose_stems.isdisjoint(deletions(word[:k], 1)) for k in self.loose_starts if len(word) >= k)
 
     def lookup(self, word: str) -> tuple[float, int]:
-        """The highest weight of a term that the word matches, halved by an error, and the errors; (0, 0) without any."""
-        exact = any(word[:k] in self.exact for k in range(2, min(len(word), 5) + 1))
-        loose = len(word) >= 5 and (word[:3] in self.heads or word[2:5] in self.tails or word[3:6] in self.tails or word[4:7] in self.tails)
-        if not exact and not loose:
+        """The highest weight of a term that the word matches, divided by one more than the errors, and the errors; (0, 0) without any."""
+        if not self.may_match(word):
             return 0.0, 0
-        automaton, best = Automaton(word, 1), (0.0, 0)
+        # only exact terms are as long as a long word, and a stem ends within its first characters
+        long = len(word) > LONG + 2
+        best = (self.terms.get((word, False), 0.0), 0) if long else (0.0, 0)
+        automaton = Automaton(word[: STEMS[-1] + 1] if long else word, 2)
         todo = [(self.trie, automaton.start())]
         while todo:
             node, state = todo.pop()
@@ -98,10 +132,10 @@ class Lexicon:
                         todo.append((below, to))
                     continue
                 for text, stem, w in below:
-                    d = min(state) if stem else state[-1]
-                    if d <= self.errors(text):
-                        best = max(best, (w / (1 + d), d))
-        return best
+                    d = min(state[0]) if stem else state[0][-1]
+                    if d <= errors(text, stem) and (stem or not long):
+                        best = max(best, (w / (1 + d) * (self.forms.get(word, 1.0) if d else 1.0), d))
+        return best if best[0] > 0 else (0.0, 0)
 
 
 class Lookups(dict):
@@ -113,7 +147,7 @@ class Lookups(dict):
 
     def __missing__(self, raw: str) -> tuple[float, int]:
         word = raw.strip(EDGE)
-        got = self.lexicon.lookup(word) if 3 < len(word) <= 64 else (0.0, 0)
+        got = self.lexicon.lookup(word) if len(word) > 1 else (0.0, 0)
         if len(self) >= MEMO:
             self.clear()
         if len(raw) <= 64:
@@ -138,14 +172,18 @@ def hits(text: str, lookups: Lookups) -> list[tuple[int, float, int, float]]:
     return out
 
 
+FEATURES = 7
+
+
 def features(text: str | None, lookups: Lookups) -> list[float]:
+    """Of all hits; and of the misspelled ones again, so that a fit can trust them less. Where labelled texts have none, they count as the others do."""
     got = hits(text or "", lookups)
     n = max(1, len((text or "").split()))
     if not got:
-        return [0.0] * 6
-    abuse = np.array([w * c for _, w, _, c in got])
-    quote = np.array([w * (1 - c) for _, w, _, c in got])
-    return [float(abuse.max()), float(np.log1p(abuse.sum())), float(np.sqrt(abuse.sum() / n)), float(np.log1p(quote.sum())), float(np.log1p(sum(1 for g in got if g[2]))), 1.0]
+        return [0.0] * FEATURES
+    abuse, quote = np.array([(w * c, w * (1 - c)) for _, w, _, c in got]).T
+    loose = np.array([w * c for _, w, d, c in got if d])
+    return [float(abuse.max()), float(np.log1p(abuse.sum())), float(np.sqrt(abuse.sum() / n)), float(np.log1p(quote.sum())), float(loose.max(initial=0)), float(np.log1p(loose.sum())), 1.0]
 
 
 @dataclass
@@ -154,22 +192,23 @@ class ToxicityModel:
     weights: np.ndarray | None
     prior: float
     part: int = 2
+    forms: dict = field(default_factory=dict)
     lookups: Lookups | None = field(default=None, repr=False, compare=False)
 
     def __getstate__(self):
-        return {"terms": self.terms, "weights": self.weights, "prior": self.prior, "part": self.part, "lookups": None}
+        return {"terms": self.terms, "weights": self.weights, "prior": self.prior, "part": self.part, "forms": self.forms, "lookups": None}
 
     def table(self) -> Lookups:
         """What a worker remembers of the lexicon, kept from task to task while the lexicon is the same."""
         if self.lookups is None:
-            key = hash(tuple(sorted(self.terms.items())))
-            self.lookups = kept((f"lookups {self.part}", key), lambda: Lookups(Lexicon(self.terms)))
+            key = hash((tuple(sorted(self.terms.items())), tuple(sorted(self.forms.items()))))
+            self.lookups = kept((f"lookups {self.part}", key), lambda: Lookups(Lexicon(self.terms, self.forms)))
         return self.lookups
 
     def scores(self, texts: list) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.prior)
-        x = np.array([features(t, self.table()) for t in texts]).reshape(len(texts), 6)
+        x = np.array([features(t, self.table()) for t in texts]).reshape(len(texts), FEATURES)
         return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.weights, -40, 40)))
 
 
@@ -182,7 +221,7 @@ def terms_of(text: str) -> set[tuple[str, bool, int]]:
     bare = [w.strip(EDGE) for w in words]
     out = set()
     for w, before, after in zip(bare, ["", *bare], [*bare[1:], ""], strict=False):
-        if 3 < len(w) <= 32:
+        if len(w) > 1:
             at = zlib.crc32(f"{before} {after}".encode())
             out.add((w, False, at))
             out.update((w[:k], True, at) for k in STEMS if len(w) > k)
@@ -190,12 +229,12 @@ def terms_of(text: str) -> set[tuple[str, bool, int]]:
 
 
 def lexicon_terms(rows: list[tuple[str, bool, int, int, int]], toxic: int, clean: int) -> dict[tuple[str, bool], float]:
-    """(term, stem, toxic texts, clean texts, contexts) -> weights. A term goes if a shorter stem that is kept says as much."""
+    """(term, stem, toxic texts, clean texts, contexts) -> weights. A stem goes if a shorter one that is kept says as much; whole terms stay for their misspellings."""
     kept: dict = {}
     for term, stem, a, b, support in sorted(rows, key=lambda r: (len(r[0]), not r[1], r[0])):
         odds = float(np.log((a + 0.5) / (toxic + 1)) - np.log((b + 0.5) / (clean + 1)))
         if support >= max(MIN_TEXTS, MIN_SHARE * toxic) and odds >= MIN_ODDS:
-            above = max([kept.get((term[:k], True), 0) for k in range(4, len(term) + (not stem))], default=0)
+            above = max([kept.get((term[:k], True), 0) for k in range(STEMS[0], len(term))], default=0) if stem else 0
             if not above or odds > above + 1.5:
                 kept[term, stem] = odds
     return kept if toxic and clean else {}
@@ -232,8 +271,34 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
     chosen = [lexicon_terms([(*r[:2], *r[2 + 3 * h : 5 + 3 * h]) for r in rows], *sizes[3 * h : 3 * h + 2]) for h in (0, 1)]
     toxic, clean = sizes[0] + sizes[3], sizes[1] + sizes[4]
     terms = lexicon_terms([(*r[:2], *(r[k] + r[k + 3] for k in (2, 3, 4))) for r in rows], toxic, clean)
+    prior = (toxic + 1) / (toxic + clean + 2)
+    if not terms or not toxic or not clean:
+        return ToxicityModel({}, None, prior)
+    lexicons = [ToxicityModel(t, None, 0.5, k) for k, t in enumerate((*chosen, terms))]
+
+    def misspelled(batches):
+        """The misspelled forms that each lexicon finds in the texts it was learned from: (lexicon, form, label), once a text."""
+        import pyarrow as pa
+
+        for b in batches:
+            out = []
+            for t, y, h in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                words = {w.strip(EDGE) for w in t.as_py().lower().split()}
+                for k in (h, 2):
+                    found = lexicons[k].table()
+                    out += [(k, w, y) for w in words if found[w][1]]
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.int32()))], ["lexicon", "form", "label"])
+
+    counted = sample.mapInArrow(misspelled, "lexicon int, form string, label int").groupBy("lexicon", "form").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
+    # bounded by the sample: forms in its clean texts
+    for r in counted.where("b > 0").collect():
+        t, c = (sizes[3 * r["lexicon"]], sizes[3 * r["lexicon"] + 1]) if r["lexicon"] < 2 else (toxic, clean)
+        odds = float(np.log((r["a"] + 0.5) / (t + 1)) - np.log((r["b"] + 0.5) / (c + 1)))
+        lexicons[r["lexicon"]].forms[r["form"]] = min(1.0, max(0.0, odds / MIN_ODDS - 0.5))
+    for m in lexicons:
+        m.lookups = None
     # the weights are fit to what each half's lexicon finds in the other half
-    tables = [ToxicityModel(t, None, 0.5, k) for k, t in enumerate((chosen[1], chosen[0]))]
+    tables = [lexicons[1], lexicons[0]]
 
     def measured(batches):
         import pyarrow as pa
@@ -242,11 +307,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
             x = [features(t.as_py(), tables[h].table()) for t, h in zip(b.column(0), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "label"])
 
-    prior = (toxic + 1) / (toxic + clean + 2)
-    if not terms or not toxic or not clean:
-        return ToxicityModel({}, None, prior)
     got = sorted((r["x"], r["label"]) for r in sample.mapInArrow(measured, "x array<double>, label int").collect())
-    return ToxicityModel(terms, logistic(np.array([r[0] for r in got]), np.array([r[1] for r in got], float)), prior)
+    return ToxicityModel(terms, logistic(np.array([r[0] for r in got]), np.array([r[1] for r in got], float)), prior, forms=lexicons[2].forms)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 4, fold: int = 2, threshold: float = 0.3, at_most: int = FIT_ROWS) -> DataFrame:
