@@ -288,7 +288,8 @@ def local_alignment(a, b):
     return best
 
 
-def test_decontamination(spark):
+@pytest.mark.parametrize("n", [3, 5])
+def test_decontamination(spark, n):
     import random
     import re
 
@@ -313,15 +314,39 @@ def test_decontamination(spark):
     want = {}
     for i, t in enumerate(texts):
         d = re.findall(r"\w+", t.lower())
-        grams = {tuple(d[k : k + 5]) for k in range(len(d) - 4)}
+        grams = {tuple(d[k : k + n]) for k in range(len(d) - n + 1)}
         for k, it in enumerate(items):
-            if any(tuple(it[p : p + 5]) in grams for p in range(len(it) - 4)) and (s := local_alignment(it, d)) >= len(it):
+            if any(tuple(it[p : p + n]) in grams for p in range(len(it) - n + 1)) and (s := local_alignment(it, d)) >= len(it):
                 want[i, k] = s / (2 * len(it))
-    got = {(r["doc_id"], r["item_id"]): r["score"] for r in contamination(docs, bench).collect()}
-    blocks = {(r["doc_id"], r["item_id"]): r["score"] for r in contamination(docs, bench, block_bytes=400).collect()}
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in contamination(docs, bench, n=n).collect()}
+    blocks = {(r["doc_id"], r["item_id"]): r["score"] for r in contamination(docs, bench, n=n, block_bytes=400).collect()}
     assert got == want == blocks and len(want) > 20
 
 
+def test_decontamination_of_edited_and_short_items(spark):
+    """Copies with a fifth of the words changed: nearly all that the alignment accepts are found. Short items are found whole, in any type of id."""
+    import random
+
+    from branchlight.llm.decontamination import contamination
+
+    rng = random.Random(5)
+    items = [[f"v{rng.randrange(5000)}" for _ in range(15)] for _ in range(100)] + [["tiny", "item"], ["single"]]
+    texts, accepted = [], 0
+    for it in items[:100]:
+        c = list(it)
+        for p in rng.sample(range(15), 4):
+            c[p] = f"z{rng.randrange(10**6)}"
+        texts.append(" ".join(c))
+    texts += ["a tiny item here", "tiny and item", "nothing", "Single."]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for kind in ("smallint", "string", "decimal(9,0)"):
+        bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string").selectExpr(f"cast(item_id as {kind}) as item_id", "text")
+        got = {(r["doc_id"], int(r["item_id"])) for r in contamination(docs, bench).collect()}
+        assert {p for p in got if p[0] >= 100} == {(100, 100), (103, 101)}
+        accepted = [i for i in range(100) if local_alignment(items[i], texts[i].split()) >= 15]
+        assert sum((i, i) in got for i in accepted) >= 0.97 * len(accepted) and len(accepted) == 100
+
+
 def test_decontamination_query_finds_whole_items(spark, docs):
     items = [(b["item_id"], " ".join(b["text"].split())) for b in table("benchmark")]
     want = {(d["doc_id"], k) for d in docs for k, t in items if t in " ".join((d["text"] or "").split())}

@@ -88,12 +88,12 @@ def test_simhash(odd, none):
 
 def test_licenses_and_pseudonyms(odd, none):
     assert sorted((r["doc_id"] for r in licenses(odd).collect()), key=repr) == IDS and not licenses(none).collect()
-    got = pseudonymise(odd)
+    got = pseudonymise(odd, secret="k")
     assert got.columns == odd.columns
     rows = {r["doc_id"]: r["text"] for r in got.collect()}
     assert rows[1] is None and rows[2] == "" and rows[3] == " \n\t " and len(rows[4]) == len(WORDS) and rows[4] == rows[8] != WORDS and "mail50@" not in rows[4]
-    assert {(r["n_values"], r["n_replaced"]) for r in pseudonym_report(odd).where("doc_id in (4, 8)").collect()} == {(600, 600)}
-    assert not pseudonym_report(none).collect() and not pseudonymise(none).collect()
+    assert {(r["n_values"], r["n_replaced"]) for r in pseudonym_report(odd, secret="k").where("doc_id in (4, 8)").collect()} == {(600, 600)}
+    assert not pseudonym_report(none, secret="k").collect() and not pseudonymise(none, secret="k").collect()
 
 
 def test_licence_rules(spark):
