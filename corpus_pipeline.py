@@ -13,7 +13,7 @@ from branchlight.llm.decontamination import clean
 from branchlight.llm.packing import pack
 from branchlight.llm.pii import pseudonymise
 from branchlight.llm.quality import quality_model, score_column
-from branchlight.llm.queries import read, tokenizer
+from branchlight.llm.queries import pseudonym_key, read, tokenizer
 from branchlight.llm.simhash import near_texts
 
 #: No SQL: a discriminant, fingerprints and a tokenizer's merges are beyond it. The tests hold each stage against brute force.
@@ -42,12 +42,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return clean(docs, read(spark, sf_dir, "benchmark"), n=5, least=0.5)
+    return clean(docs, read(spark, sf_dir, "benchmark"), n=3, least=0.5)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data become pseudonyms; n_chars follows the text."""
-    return pseudonymise(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars").cast("int")).cast(docs.schema["n_chars"].dataType))
+    """Personal data become pseudonyms under the key in spark.branchlight.pseudonyms.key; n_chars follows the text."""
+    return pseudonymise(docs, secret=pseudonym_key(spark)).withColumn("n_chars", F.coalesce(F.length("text"), F.col("n_chars").cast("int")).cast(docs.schema["n_chars"].dataType))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
