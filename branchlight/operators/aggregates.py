@@ -2,20 +2,95 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.vectors import distance
 
+#: Groups whose sums a task holds before it passes them on.
+HELD = 20_000
+
 
 def long_form(df: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
     """One row per component: keys, pos, x."""
     return df.select(*keys, F.posexplode(vector).alias("pos", "x"))
 
 
-def vector_sums(df: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
-    """G1: (keys, count, vsum), summed component by component, so that sums combine before the shuffle and no list of vectors is built."""
-    sums = long_form(df, keys, vector).groupBy(*keys, "pos").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
-    return sums.groupBy(*keys).agg(F.max("n").alias("count"), F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("s")).select(*keys, "count", F.col("s.x").alias("vsum"))
+def vector_sums(df: DataFrame, keys: list[str], vector: str = "vector", weight: str | None = None) -> DataFrame:
+    """G1: (keys, count, vsum). Each task adds up the vectors of its batches, so one row a group and task is shuffled, whole; then the parts are added.
+
+    weight: a column of counts, where the vectors are sums themselves.
+    """
+    one = df.select(*keys, (F.col(weight) if weight else F.lit(1)).cast("long").alias("count"), F.col(vector).cast("array<double>").alias("vsum"))
+    schema = StructType([*one.select(*keys).schema.fields, *one.select("count", "vsum").schema.fields])
+    arrow = to_arrow_schema(schema)
+    plain = lambda v: tuple(map(plain, v)) if isinstance(v, list) else v
+
+    def add(batches):
+        import pyarrow as pa
+
+        place: dict = {}
+        names: list = []
+        totals = None
+
+        def out(used):
+            cols = [pa.array([n[i] for n in names], f.type) for i, f in enumerate(list(arrow)[: len(keys)])]
+            return pa.RecordBatch.from_arrays([*cols, pa.array(totals[:used, 0].astype(np.int64)), pa.array(list(totals[:used, 1:]), pa.list_(pa.float64()))], schema=arrow)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = b.column(len(keys) + 1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            n = b.column(len(keys)).to_numpy()
+            key = list(zip(*(b.column(i).to_pylist() for i in range(len(keys))), strict=True)) if keys else [()] * b.num_rows
+            at = np.empty(b.num_rows, np.int64)
+            for i, k in enumerate(key):
+                h = plain(list(k))
+                at[i] = place.setdefault(h, len(place))
+                if at[i] == len(names):
+                    names.append(k)
+            if totals is None:
+                totals = np.zeros((256, x.shape[1] + 1))
+            if len(names) > len(totals):
+                totals = np.concatenate([totals, np.zeros((max(len(names), 2 * len(totals)) - len(totals), totals.shape[1]))])
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.diff(at[order], prepend=-1))
+            totals[at[order][first], 0] += np.add.reduceat(n[order], first)
+            totals[at[order][first], 1:] += np.add.reduceat(x[order], first, axis=0)
+            if len(names) > HELD:
+                yield out(len(names))
+                place, names, totals = {}, [], None
+        if names:
+            yield out(len(names))
+
+    # after the shuffle a group's parts lie in one task, in order, so they are never held longer than a group goes on
+    def added(batches):
+        import pyarrow as pa
+
+        last, n, x, rows = None, 0, None, []
+
+        def out():
+            return pa.RecordBatch.from_arrays([*(pa.array([r[i] for r in rows], f.type) for i, f in enumerate(arrow))], schema=arrow)
+
+        for b in batches:
+            for *k, m, v in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+                if k != last:
+                    if x is not None:
+                        rows.append([*last, n, x.tolist()])
+                    last, n, x = k, 0, np.zeros(len(v))
+                n += m
+                x += v
+            if rows:
+                yield out()
+                rows = []
+        if x is not None:
+            rows.append([*last, n, x.tolist()])
+            yield out()
+
+    parts = one.mapInArrow(add, schema)
+    return (parts.repartition(*keys).sortWithinPartitions(*keys) if keys else parts.coalesce(1)).mapInArrow(added, schema)
 
 
 def centroids(df: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
@@ -30,9 +105,10 @@ def dispersions(df: DataFrame, keys: list[str], vector: str = "vector") -> DataF
 
 
 def roll_up(df: DataFrame, path: str = "path", vector: str = "vector") -> DataFrame:
-    """(prefix, count, vsum) for each node on the way to an item: a roll-up along paths."""
+    """(prefix, count, vsum) for each node on the way to an item: sums of the leaves, then of the leaves' sums along their paths."""
     prefixes = F.transform(F.sequence(F.lit(0), F.size(path)), lambda i: F.slice(path, F.lit(1), i))
-    return vector_sums(df.select(F.explode(prefixes).alias("prefix"), vector), ["prefix"], vector)
+    leaves = vector_sums(df, [path], vector)
+    return vector_sums(leaves.select(F.explode(prefixes).alias("prefix"), "count", "vsum"), ["prefix"], "vsum", weight="count")
 
 
 def candidate_scores(df: DataFrame, group: list[str], bucket: str = "bucket", vector: str = "vector", separation_weight: float = 0.05, imbalance_weight: float = 0.05) -> DataFrame:
@@ -54,11 +130,11 @@ def candidate_scores(df: DataFrame, group: list[str], bucket: str = "bucket", ve
 def nearest(df: DataFrame, centers: DataFrame, vector: str = "vector", on: list[str] | None = None) -> DataFrame:
     """Df with the id of its nearest centre and the distance; ties go to the first ordinal.
 
-    centers(center_id, ordinal, centroid): a tree's nodes, whose number a configuration bounds, become one row with an array,
-    so that no row of df is multiplied.
+    centers(center_id, ordinal, centroid) of one parent, at most max_branches or k of them, become one row with an array, so that no row of df is
+    multiplied. Without `on` that one row goes to all tasks; with it the rows of all parents are an equi-join, which Spark broadcasts only where they are small.
     """
     table = centers.groupBy(*(on or [])).agg(F.collect_list(F.struct("ordinal", "center_id", "centroid")).alias("__centers"))
-    joined = df.join(F.broadcast(table), on) if on else df.join(F.broadcast(table))
+    joined = df.join(table, on) if on else df.join(F.broadcast(table))
     best = lambda v: F.array_min(F.transform("__centers", lambda c: F.struct(distance(v, c["centroid"]).alias("d"), c["ordinal"].alias("o"), c["center_id"].alias("i"))))
     return joined.withColumn("__best", best(F.col(vector))).withColumn("center_id", F.col("__best.i")).withColumn("distance", F.col("__best.d")).drop("__best", "__centers")
 

@@ -1,9 +1,16 @@
-"""Splits of vectors into branches: k-means, the fixed and the adaptive rule, and the divisive build of whole trees."""
+"""Splits of vectors into branches: k-means, the fixed and the adaptive rule, and the divisive build of whole trees.
+
+The rule is one function, judge(), which asks for the statistics of a bucketing into k. Small groups answer it from an array in one task, large
+groups from sums over all executors, so a group's size decides only where the sums are made, not what is decided.
+"""
 
 from __future__ import annotations
 
+import json
 import logging
+from collections.abc import Callable
 from dataclasses import dataclass, field
+from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pandas as pd
@@ -13,8 +20,12 @@ from ..config import TreeConfig
 from .aggregates import centroids, nearest
 
 log = logging.getLogger("branchlight.split")
-#: Groups with more rows are split by Spark's own k-means; smaller ones are finished, with all below them, in one task.
+#: Groups with more rows are split by passes over all executors; smaller ones are finished, with all below them, in one task.
 LOCAL_MAX = 20_000
+#: Large groups that go through a pass together: their centres are broadcast, at most GROUPS * (2 + ... + max_branches) vectors.
+GROUPS = 256
+#: Rows of a large group from which its first centres are drawn, by a hash. All rows take part in what follows.
+SEED_ROWS = 2_000
 
 
 def coherence_threshold(depth: Column, least: float, decay: float) -> Column:
@@ -78,40 +89,50 @@ def dispersion(x: np.ndarray) -> float:
 class Decision:
     split: bool
     reason: str
-    parts: list[np.ndarray] = field(default_factory=list)
+    parts: list = field(default_factory=list)
     metrics: dict = field(default_factory=dict)
 
 
-def decide(x: np.ndarray, depth: int, config: TreeConfig) -> list[Decision]:
+@dataclass
+class Bucketing:
+    """What a rule needs to know of a group cut into buckets. parts: what stands for the buckets where the group lives."""
+
+    sizes: list[int]
+    dispersions: list[float]
+    means: np.ndarray
+    parts: list
+
+
+def judge(n: int, depth: int, config: TreeConfig, parent: Callable[[], float], distinct: Callable[[], int], cut: Callable[[int], Bucketing]) -> list[Decision]:
     """What the configured rule says of a group; the last decision counts, the others are candidates it looked at."""
-    n = len(x)
     if n <= config.leaf_target:
-        return [Decision(False, "within_leaf_target")]
+        return [Decision(False, "within_leaf_target", metrics={"leaf_target": config.leaf_target})]
     if config.split_mode == "fixed":
-        parts = buckets(x, min(config.max_branches, n), config)
-        return [Decision(len(parts) > 1, "accept" if len(parts) > 1 else "unsplittable", parts if len(parts) > 1 else [])]
-    parent = dispersion(x)
-    if parent < config.min_parent_dispersion * config.parent_dispersion_decay**depth:
-        return [Decision(False, "coherent", metrics={"parent_dispersion": parent})]
-    distinct = len(np.unique(x, axis=0))
-    most = min(config.max_branches, n // config.min_cluster_size, distinct)
+        found = cut(min(config.max_branches, n))
+        if len(found.sizes) < 2:
+            return [Decision(False, "unsplittable")]
+        return [Decision(True, "accept", found.parts, {"k": len(found.sizes), "sizes": found.sizes})]
+    spread = parent()
+    limit = config.min_parent_dispersion * config.parent_dispersion_decay**depth
+    if spread < limit:
+        return [Decision(False, "coherent", metrics={"parent_dispersion": spread, "min_parent_dispersion": limit})]
+    most = min(config.max_branches, n // config.min_cluster_size, distinct())
     if most < 2:
-        return [Decision(False, "unsplittable" if distinct < 2 else "too_few_supported_clusters", metrics={"parent_dispersion": parent})]
+        return [Decision(False, "unsplittable" if distinct() < 2 else "too_few_supported_clusters", metrics={"parent_dispersion": spread})]
     seen: list[Decision] = []
     for k in range(2, most + 1):
-        parts = buckets(x, k, config)
-        sizes = [len(p) for p in parts]
-        if len(parts) < 2 or min(sizes) < config.min_cluster_size:
-            seen.append(Decision(False, "reject", metrics={"k": k, "sizes": sizes}))
+        found = cut(k)
+        sizes = found.sizes
+        if len(sizes) < 2 or min(sizes) < config.min_cluster_size:
+            seen.append(Decision(False, "single_cluster" if len(sizes) < 2 else "small_cluster", metrics={"k": k, "sizes": sizes}))
             continue
-        child = sum(len(p) / n * dispersion(x[p]) for p in parts)
-        means = np.array([x[p].mean(0) for p in parts])
-        i, j = np.triu_indices(len(parts), 1)
-        separation = float(np.linalg.norm(means[i] - means[j], axis=1).mean())
+        child = sum(m / n * d for m, d in zip(sizes, found.dispersions, strict=True))
+        i, j = np.triu_indices(len(sizes), 1)
+        separation = float(np.linalg.norm(found.means[i] - found.means[j], axis=1).mean())
         imbalance = float(np.std(sizes) / np.mean(sizes))
-        gain = parent - child
+        gain = spread - child
         score = gain + config.separation_weight * separation - config.imbalance_weight * imbalance
-        seen.append(Decision(True, "candidate", parts, {"k": k, "sizes": sizes, "parent_dispersion": parent, "child_dispersion": child, "gain": gain, "gain_ratio": gain / parent if parent else 0.0, "separation": separation, "imbalance": imbalance, "score": score}))
+        seen.append(Decision(True, "candidate", found.parts, {"k": k, "sizes": sizes, "parent_dispersion": spread, "child_dispersion": child, "gain": gain, "gain_ratio": gain / spread if spread else 0.0, "separation": separation, "imbalance": imbalance, "score": score}))
     valid = [d for d in seen if d.split]
     if not valid:
         return [*seen, Decision(False, "no_valid_split")]
@@ -122,86 +143,291 @@ def decide(x: np.ndarray, depth: int, config: TreeConfig) -> list[Decision]:
     return [*seen, Decision(False, "low_gain", metrics=best.metrics)]
 
 
-def logged(decision: Decision, config: TreeConfig, n: int, depth: int) -> None:
-    """One line of key=value pairs, floats with six digits."""
-    if config.log_split_decisions:
-        kind = decision.reason if decision.reason in ("accept", "candidate", "reject") else "skip"
-        show = lambda v: f"{v:.6g}" if isinstance(v, float) else v
-        line = " ".join(f"{k}={show(v)}" for k, v in {"n": n, "depth": depth, "reason": decision.reason, **decision.metrics}.items())
-        log.info("split.%s.%s %s", config.split_mode, kind, line)
+def decide(x: np.ndarray, depth: int, config: TreeConfig) -> list[Decision]:
+    """The rule on an array; parts are row numbers."""
+
+    def cut(k: int) -> Bucketing:
+        parts = buckets(x, k, config)
+        return Bucketing([len(p) for p in parts], [dispersion(x[p]) for p in parts], np.array([x[p].mean(0) for p in parts]), parts)
+
+    return judge(len(x), depth, config, lambda: dispersion(x), lambda: len(np.unique(x, axis=0)), cut)
+
+
+@runtime_checkable
+class SplitStrategy(Protocol):
+    """C4: whether and how to split an array of vectors; the last decision counts."""
+
+    def __call__(self, x: np.ndarray, depth: int, config: TreeConfig) -> list[Decision]: ...
+
+
+def make_splitter(config: TreeConfig) -> SplitStrategy:
+    """The strategy for a configuration: the fixed and the adaptive rule are one function."""
+    return decide
+
 
+def described(decision: Decision, config: TreeConfig, n: int, depth: int) -> dict:
+    """A decision as a record, with one line of key=value pairs, floats with six digits."""
+    kind = {"accept": "accept", "candidate": "candidate", "single_cluster": "reject", "small_cluster": "reject"}.get(decision.reason, "skip")
+    show = lambda v: f"{v:.6g}" if isinstance(v, float) else "[" + ",".join(map(show, v)) + "]" if isinstance(v, list) else str(v)
+    pairs = {"n": n, "depth": depth} | ({} if kind in ("accept", "candidate") else {"reason": decision.reason}) | decision.metrics
+    event = f"split.{config.split_mode}.{kind}"
+    return {"event": event, "reason": decision.reason, "n": n, "depth": depth, "k": decision.metrics.get("k"), "gain": decision.metrics.get("gain"), "score": decision.metrics.get("score"), "line": f"{event} " + " ".join(f"{k}={show(v)}" for k, v in pairs.items())}
 
-def grow(x: np.ndarray, depth: int, config: TreeConfig, most_depth: int = 60) -> list[tuple[list[int], bool, np.ndarray]]:
-    """(path below, unsplittable, row numbers) of each leaf of the whole subtree of x."""
+
+#: The records of described(), as split_decisions() gives them.
+DECISIONS = "path array<int>, event string, reason string, n long, depth int, k int, gain double, score double, line string"
+
+
+def grow(x: np.ndarray, depth: int, config: TreeConfig, strategy: SplitStrategy | None = None, said: list | None = None) -> list[tuple[list[int], bool, np.ndarray]]:
+    """(path below, unsplittable, row numbers) of each leaf of the whole subtree of x. said takes the decisions' records, with their paths below."""
     out: list = []
     todo = [([], np.arange(len(x)), depth)]
     while todo:
         path, rows, d = todo.pop()
-        said = decide(x[rows], d, config)
-        for s in said:
-            logged(s, config, len(rows), d)
-        last = said[-1]
-        if not last.split or len(path) >= most_depth:
+        found = (strategy or make_splitter(config))(x[rows], d, config)
+        if said is not None and config.log_split_decisions:
+            said += [{"path": path, **described(f, config, len(rows), d)} for f in found]
+        last = found[-1]
+        if not last.split:
             out.append((path, last.reason == "unsplittable", rows))
             continue
         todo += [([*path, i], rows[p], d + 1) for i, p in enumerate(last.parts)]
     return out
 
 
-def divisive(items: DataFrame, config: TreeConfig, local_max: int = LOCAL_MAX) -> DataFrame:
-    """items(seq, vector, ...) -> the same with path array<int> and unsplittable: the tree built from the top.
+def divisive(items: DataFrame, config: TreeConfig, local_max: int = LOCAL_MAX, strategy: SplitStrategy | None = None, keep: Callable[[DataFrame], DataFrame] | None = None, said: list | None = None) -> DataFrame:
+    """items(seq, vector, ...) -> the same with path array<int>, unsplittable and decisions (see split_decisions()): the tree built from the top.
 
-    Groups over local_max rows, of which there are few, are split by Spark's k-means on all executors; each group that is
-    small enough is finished in one task, with the whole subtree below it.
+    A level's groups over local_max rows go together through passes over all executors: k-means for each k that the rule asks for, then the
+    statistics of its buckets, by which the rule decides. Each group that is small enough is finished in one task, with the whole subtree below it.
+    keep: writes a table and reads it again, between levels. said takes the records of the large groups' decisions. A strategy of one's own sees only groups of up to local_max rows, so local_max must then cover all.
     """
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
+    keep = keep or (lambda df: df)
     rows = items.withColumn("__at", F.array().cast("array<int>"))
-    done: DataFrame | None = None
+    done: list[DataFrame] = []
     while True:
-        sizes = rows.groupBy("__at").agg(F.count("*").alias("n"))
-        large = [r["__at"] for r in sizes.where(F.col("n") > local_max).collect()]  # fewer than rows / local_max groups
-        small = rows
-        parts = []
-        for path in large:
-            here = F.col("__at") == F.array(*map(F.lit, path)).cast("array<int>")
-            group = rows.where(here)
-            small = small.where(~here)
-            k = min(config.max_branches, group.agg(F.count_distinct("vector")).first()[0])
-            if k < 2:
-                parts.append((group, True))
-                continue
-            model = KMeans(k=k, seed=int(config.model_args.get("random_state") or 0), maxIter=int(config.model_args.get("max_iter", 300)), featuresCol="__f", predictionCol="__c").fit(group.select(array_to_vector("vector").alias("__f")))
-            centers = group.sparkSession.createDataFrame([(i, i, [float(v) for v in c]) for i, c in enumerate(model.clusterCenters())], "center_id int, ordinal int, centroid array<double>")
-            cut = nearest(group, centers).drop("distance")
-            kept = sorted(r[0] for r in cut.select("center_id").distinct().collect())
-            order = F.array_position(F.array(*map(F.lit, kept)), F.col("center_id")).cast("int") - 1
-            parts.append((cut.withColumn("__at", F.concat("__at", F.array(order))).drop("center_id"), len(kept) < 2))
-        leaf = _finished(small, config)
-        done = leaf if done is None else done.unionByName(leaf)
-        for group, stuck in parts:
-            if stuck:
-                done = done.unionByName(group.select(*[c for c in group.columns if c != "__at"], F.col("__at").alias("path"), F.lit(True).alias("unsplittable")))
-        left = [g for g, stuck in parts if not stuck]
-        if not left:
-            return done
-        rows = left[0]
-        for g in left[1:]:
-            rows = rows.unionByName(g)
-        rows = rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
-
-
-def _finished(rows: DataFrame, config: TreeConfig) -> DataFrame:
+        sizes = rows.groupBy("__at").agg(F.count("*").alias("n")).where(F.col("n") > max(local_max, config.leaf_target))
+        large = [(list(r["__at"]), r["n"]) for r in sizes.collect()]  # fewer than rows / local_max groups
+        if large and strategy is not None:
+            raise ValueError(f"a strategy of one's own needs local_max to cover the largest group, {max(n for _, n in large)} rows")
+        if not large:
+            done.append(_finished(rows, config, strategy))
+            break
+        names = rows.sparkSession.createDataFrame([(p, i) for i, (p, _) in enumerate(sorted(large))], "__at array<int>, __group int")
+        done.append(_finished(rows.join(F.broadcast(names), "__at", "left_anti"), config, None))
+        said = said if said is not None else []
+        big = rows.join(F.broadcast(names), "__at")
+        cut = [_large(big.where(F.col("__group").between(at, at + GROUPS - 1)), sorted(large)[at : at + GROUPS], at, config, said) for at in range(0, len(large), GROUPS)]
+        placed = cut[0]
+        for c in cut[1:]:
+            placed = placed.unionByName(c)
+        placed = keep(placed.drop("__group"))
+        columns = [*items.columns, "path", "unsplittable", F.lit(None).cast("array<string>").alias("decisions")]
+        done.append(placed.where("__end").select(*columns))
+        rows = placed.where("not __end").select(*items.columns, F.col("path").alias("__at"))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out
+
+
+def split_decisions(grown: DataFrame, said: list = ()) -> DataFrame:
+    """The decisions that divisive() wrote, and those it said of large groups, one row each; none unless config.log_split_decisions."""
+    spark = grown.sparkSession
+    one = grown.where("decisions is not null").select(F.explode("decisions").alias("d"))
+    if said:
+        one = one.unionByName(spark.createDataFrame([(json.dumps(d),) for d in said], "d string"))
+    return one.select(F.from_json("d", DECISIONS).alias("d")).select("d.*")
+
+
+def _finished(rows: DataFrame, config: TreeConfig, strategy: SplitStrategy | None) -> DataFrame:
     """Each group's whole subtree. Only seq and vector go to Python; the rest is joined back by seq."""
-    schema = "seq long, path array<int>, unsplittable boolean"
+    schema = "seq long, path array<int>, unsplittable boolean, decisions array<string>"
 
     def run(table: pd.DataFrame) -> pd.DataFrame:
         table = table.sort_values("seq", ignore_index=True)
-        at = list(table["__at"].iloc[0])
-        leaves = grow(np.array(table["vector"].tolist(), float), len(at), config)
-        parts = [pd.DataFrame({"seq": table["seq"].to_numpy()[r], "path": [[int(v) for v in [*at, *p]]] * len(r), "unsplittable": u}) for p, u, r in leaves]
-        return pd.concat(parts)
+        at, said = [int(v) for v in table["__at"].iloc[0]], []
+        leaves = grow(np.array(table["vector"].tolist(), float), len(at), config, strategy, said)
+        out = pd.concat([pd.DataFrame({"seq": table["seq"].to_numpy()[r], "path": [[*at, *p]] * len(r), "unsplittable": u}) for p, u, r in leaves], ignore_index=True)
+        out["decisions"] = [[json.dumps({**d, "path": [*at, *d["path"]]}) for d in said] if said and k == 0 else None for k in range(len(out))]
+        return out
 
     placed = rows.select("seq", "vector", "__at").groupBy("__at").applyInPandas(run, schema)
     return rows.drop("__at").join(placed, "seq")
+
+
+def _large(rows: DataFrame, groups: list[tuple[list[int], int]], base: int, config: TreeConfig, records: list) -> DataFrame:
+    """One level of large groups: rows(seq, vector, __at, __group, ...) with path, __end, unsplittable."""
+    spark = rows.sparkSession
+    narrow = rows.select((F.col("__group") - base).alias("g"), "seq", "vector")
+    firsts = {r["g"]: r["seqs"] for r in _seeds(narrow, groups)}
+    args = config.model_args
+    seed, rounds, tol = int(args.get("random_state") or 0), int(args.get("max_iter", 300)), float(args.get("tol", 1e-4))
+    known = {r["g"]: r["d"] for r in narrow.groupBy("g").agg(F.count_distinct(F.xxhash64("vector"), F.xxhash64(F.lit(1), "vector")).alias("d")).collect()}
+    ks = {}
+    for g, (_, n) in enumerate(groups):
+        most = min(config.max_branches, known[g]) if config.split_mode == "fixed" else min(config.max_branches, n // config.min_cluster_size, known[g])
+        ks[g] = [most] if config.split_mode == "fixed" and most > 1 else list(range(2, most + 1)) if config.split_mode != "fixed" else []
+    # as many buckets as centres, from k-means on the first rows
+    centers: dict[tuple[int, int], np.ndarray] = {}
+    for g, x in firsts.items():
+        for k in ks[g]:
+            labels = kmeans(x, k, seed, rounds, tol)
+            centers[g, k] = np.array([x[labels == c].mean(0) for c in sorted(set(labels.tolist()))])
+    todo = dict(centers)
+    for _ in range(rounds):
+        if not todo:
+            break
+        sums = _assigned(narrow, todo)
+        done = []
+        for key, c in todo.items():
+            n, total = sums[key]
+            moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+            if ((moved - c) ** 2).sum() <= tol * float(c.var(0).mean() + 1e-12):
+                done.append(key)
+            centers[key] = todo[key] = moved
+        for key in done:
+            del todo[key]
+    # the buckets as the centres have them, then distances to the buckets' own means
+    stats = _measured(narrow, centers, len(groups))
+    orders, ends = {}, {}
+    for g, (path, n) in enumerate(groups):
+        whole = stats[g, 0]
+
+        def cut(k: int, g=g, n=n) -> Bucketing:
+            if (g, k) not in stats:
+                return Bucketing([n], [stats[g, 0][0]["dispersion"]], np.zeros((1, 1)), [0])
+            own = sorted((b for b in stats[g, k] if b["n"]), key=lambda b: b["first"])
+            return Bucketing([b["n"] for b in own], [b["dispersion"] for b in own], np.array([b["mean"] for b in own]), [(k, b["bucket"]) for b in own])
+
+        said = judge(n, len(path), config, lambda: whole[0]["dispersion"], lambda g=g: known[g], lambda k, g=g, f=cut: f(max(ks[g], default=1) if config.split_mode == "fixed" else k))
+        last = said[-1]
+        ends[g] = last.reason == "unsplittable" if not last.split else None
+        if last.split:
+            k = last.parts[0][0]
+            orders[g] = (k, [next((i for i, (_, b) in enumerate(last.parts) if b == c), 0) for c in range(len(centers[g, k]))])
+        if config.log_split_decisions:
+            records += [{"path": path, **described(d, config, n, len(path))} for d in said]
+    chosen = {(g, k): centers[g, k] for g, (k, _) in orders.items()}
+
+    @F.pandas_udf("int")
+    def ordinal(group: pd.Series, vector: pd.Series) -> pd.Series:
+        out = np.full(len(group), -1)
+        g = group.to_numpy() - base
+        for one in np.unique(g):
+            if one in orders:
+                k, order = orders[one]
+                at = np.flatnonzero(g == one)
+                out[at] = np.array(order)[_closest(np.array(vector.iloc[at].tolist(), float), chosen[one, k])]
+        return pd.Series(out)
+
+    table = spark.createDataFrame([(g + base, ends[g]) for g in range(len(groups))], "__group int, __stuck boolean")
+    out = rows.withColumn("__o", ordinal("__group", "vector")).join(F.broadcast(table), "__group")
+    end = F.col("__stuck").isNotNull()
+    return out.withColumns({"path": F.when(end, F.col("__at")).otherwise(F.concat("__at", F.array("__o"))), "__end": end, "unsplittable": F.coalesce("__stuck", F.lit(False))}).drop("__o", "__stuck")
+
+
+def _seeds(narrow: DataFrame, groups: list[tuple[list[int], int]]) -> list[dict]:
+    """About SEED_ROWS vectors of each group, in order of seq."""
+    spark = narrow.sparkSession
+    share = spark.createDataFrame([(g, min(1.0, SEED_ROWS / n)) for g, (_, n) in enumerate(groups)], "g int, share double")
+    some = narrow.join(F.broadcast(share), "g").where(F.pmod(F.xxhash64("seq", F.lit(12)), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    out: dict[int, list] = {}
+    for r in some.select("g", "seq", "vector").collect():
+        out.setdefault(r["g"], []).append((r["seq"], r["vector"]))
+    return [{"g": g, "seqs": np.array([v for _, v in sorted(rows)], float)} for g, rows in out.items()]
+
+
+def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]).argmin(1)
+
+
+def _partials(narrow: DataFrame, of: Callable, schema: str) -> DataFrame:
+    """of(g, x, seq) -> rows, for the rows of each group in each Arrow batch."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        kinds = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            g, seq, x = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            got = [row for one in np.unique(g).tolist() for row in of(one, x[g == one], seq[g == one])]
+            kinds = kinds or [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in got], t) for i, t in enumerate(kinds)], ["g", "k", "bucket", "n", "first", "d", "total"])
+
+    return narrow.select("g", "seq", "vector").mapInArrow(run, schema)
+
+
+PARTIAL = "g int, k int, bucket int, n long, first long, d double, total array<double>"
+
+
+def _summed(parts: DataFrame) -> list:
+    """Partial sums added up: one row a group, k and bucket, some hundreds a group."""
+
+    def add(batches):
+        import pyarrow as pa
+
+        sums: dict = {}
+        for b in batches:
+            for g, k, c, n, first, d, total in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                old = sums.get((g, k, c))
+                t = np.array(total)
+                sums[g, k, c] = (n, first, d, t) if old is None else (old[0] + n, min(old[1], first), old[2] + d, old[3] + t)
+        keys = sorted(sums)
+        cols = [[k[i] for k in keys] for i in range(3)] + [[sums[k][i] for k in keys] for i in range(3)] + [[sums[k][3].tolist() for k in keys]]
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["g", "k", "bucket", "n", "first", "d", "total"])
+
+    return parts.mapInArrow(add, PARTIAL).repartition("g", "k", "bucket").mapInArrow(add, PARTIAL).collect()
+
+
+def _assigned(narrow: DataFrame, centers: dict) -> dict:
+    """(group, k) -> counts and sums of the rows closest to each centre."""
+
+    def of(g, x, seq):
+        for (own, k), c in centers.items():
+            if own == g:
+                label = _closest(x, c)
+                for j in np.unique(label).tolist():
+                    yield g, k, j, int((label == j).sum()), int(seq[label == j].min()), 0.0, x[label == j].sum(0).tolist()
+
+    out = {key: (np.zeros(len(c)), np.zeros_like(c)) for key, c in centers.items()}
+    for r in _summed(_partials(narrow, of, PARTIAL)):
+        n, total = out[r["g"], r["k"]]
+        n[r["bucket"]], total[r["bucket"]] = r["n"], r["total"]
+    return out
+
+
+def _measured(narrow: DataFrame, centers: dict, groups: int) -> dict:
+    """(group, k) -> the buckets with n, first seq, mean and mean distance to it; k 0 is the whole group."""
+    zero = {(g, 0): np.zeros((1, 1)) for g in range(groups)}
+    every = {**centers, **zero}
+
+    def bucketed(x, key):
+        return np.zeros(len(x), int) if key[1] == 0 else _closest(x, every[key])
+
+    def sums(g, x, seq):
+        for key in every:
+            if key[0] == g:
+                label = bucketed(x, key)
+                for j in np.unique(label).tolist():
+                    yield g, key[1], j, int((label == j).sum()), int(seq[label == j].min()), 0.0, x[label == j].sum(0).tolist()
+
+    found = {(r["g"], r["k"], r["bucket"]): r for r in _summed(_partials(narrow, sums, PARTIAL))}
+    means = {key: np.array(r["total"]) / r["n"] for key, r in found.items()}
+
+    def distances(g, x, seq):
+        for key in every:
+            if key[0] == g:
+                label = bucketed(x, key)
+                for j in np.unique(label).tolist():
+                    d = np.linalg.norm(x[label == j] - means[g, key[1], j], axis=1)
+                    yield g, key[1], j, len(d), 0, float(d.sum()), [0.0]
+
+    spread = {(r["g"], r["k"], r["bucket"]): r["d"] for r in _summed(_partials(narrow, distances, PARTIAL))}
+    out: dict = {}
+    for key, r in found.items():
+        out.setdefault(key[:2], []).append({"bucket": key[2], "n": r["n"], "first": r["first"], "mean": means[key], "dispersion": spread[key] / r["n"]})
+    return out

@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 
 from branchlight.config import TreeConfig
-from branchlight.operators.split import decide, dispersion, grow, kmeans
+from branchlight.operators.split import decide, dispersion, divisive, grow, kmeans, split_decisions
 
 
 def topics(n=10, jitter=0.01, seed=0):
@@ -55,3 +56,40 @@ def test_kmeans_is_seeded_and_caps_k():
     assert (kmeans(x, 3, 5) == kmeans(x, 3, 5)).all()
     assert len(set(kmeans(np.repeat(np.eye(2), 5, axis=0), 7).tolist())) == 2
     assert dispersion(np.ones((3, 2))) == 0
+
+
+@pytest.mark.parametrize("settings", [{"max_branches": 3}, {"split_mode": "adaptive", "max_branches": 5, "leaf_target": 6, "min_cluster_size": 3, "min_split_gain": 0.01}, {"split_mode": "adaptive", "min_parent_dispersion": 5.0}, {"split_mode": "adaptive", "min_split_gain": 9.0}, {}])
+def test_large_groups_follow_the_same_rule(spark, settings):
+    """Passes over all executors take the decisions that one task takes, in both modes."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.repeat(np.eye(6)[:4], 60, 0) + 0.05 * rng.standard_normal((240, 6)), np.ones((40, 6)), 4 + 0.3 * rng.standard_normal((30, 6))])
+    c = TreeConfig.of(log_split_decisions=True, **settings)
+    rows = spark.createDataFrame([(i, v.tolist(), f"t{i}") for i, v in enumerate(x)], "seq long, vector array<double>, text string")
+    got = []
+    for local_max in (10_000, 45):
+        said = []
+        grown = divisive(rows, c, local_max, said=said)
+        table = {r["seq"]: (tuple(r["path"]), r["unsplittable"], r["text"]) for r in grown.collect()}
+        logged = split_decisions(grown, said).collect()
+        got.append((table, sorted((tuple(r["path"]), r["event"], r["reason"], r["n"], r["k"] or 0) for r in logged)))
+    assert got[0] == got[1] and len(got[0][0]) == len(x)
+    want = {tuple(p): (u, r.tolist()) for p, u, r in grow(x, 0, c)}
+    leaves = {}
+    for i, (p, u, _) in got[0][0].items():
+        leaves.setdefault(p, (u, []))[1].append(i)
+    assert {p: (u, sorted(r)) for p, (u, r) in leaves.items()} == {p: (u, sorted(r)) for p, (u, r) in want.items()}
+    if settings.get("split_mode"):
+        assert {r[1] for r in got[0][1]} <= {f"split.adaptive.{k}" for k in ("skip", "reject", "candidate", "accept")}
+
+
+def test_deep_trees_have_no_depth_limit():
+    leaves = grow(np.array([[3.0**k] for k in range(90)]), 0, TreeConfig(max_branches=2, leaf_target=1))
+    assert all(len(r) == 1 for _, _, r in leaves) and max(len(p) for p, _, _ in leaves) > 60
+
+
+def test_rejections_are_told_apart_and_lines_are_formatted():
+    x = np.concatenate([np.zeros((12, 2)), np.ones((1, 2))]) + np.random.default_rng(0).uniform(0, 1e-3, (13, 2))
+    said = []
+    grow(x, 0, TreeConfig(split_mode="adaptive", leaf_target=4, min_cluster_size=2, min_parent_dispersion=0.01, log_split_decisions=True, max_branches=2), said=said)
+    assert said[0]["reason"] == "small_cluster" and said[0]["line"] == "split.adaptive.reject n=13 depth=0 reason=small_cluster k=2 sizes=[12,1]"
+    assert said[-1]["reason"] == "no_valid_split" and said[-1]["event"] == "split.adaptive.skip"
