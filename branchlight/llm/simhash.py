@@ -29,6 +29,8 @@ TILE = 4_096
 CHUNK = 1_024
 #: Fingerprints that a (blocks, bits) group of random fingerprints has at most before keys take one block more.
 PER_GROUP = 64
+#: Rows of a cell that near_texts() compares in one go.
+NEAR_TILE = 1_024
 #: Of near_texts(): bits of a fingerprint, keys of a text, least hashes of a key. Two texts at Jaccard index 0.8 share a key with probability 0.995.
 WIDE, BANDS, ROWS = 512, 10, 4
 #: Rows of a large group that each of its tiles has besides its own, about.
@@ -249,7 +251,7 @@ def spanning(x: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def near_texts(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile: int = TILE) -> DataFrame:
+def near_texts(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", tile: int = NEAR_TILE) -> DataFrame:
     """docs -> (id, component): one row per input row, component the least id of the texts reachable by links of `similarity` or more.
 
     Null and wordless texts are alike. Texts of fewer words than a shingle are alike only if their words are the same. A null id keeps its row; it counts in

@@ -2,8 +2,9 @@
 
 The lexicon is learned from labelled texts: whole words, and stems (word beginnings) whose words differ. A text's word is
 turned into a Levenshtein automaton, in which swapped neighbours count as one error, and which is run along the lexicon's trie; terms that it accepts are misspelled or exact
-hits. Whole terms of 4 characters on may have one error, of 8 on two, stems of 6 one; words of any length are looked up. A word is run only if a term is left
-where as many characters are deleted from both as may be wrong, an exact test that loses no hit. A misspelled form that clean labelled texts
+hits. Whole terms of 4 characters on may have one error, of 8 on two, stems of 6 one; words of any length are looked up. A batch's distinct words pass two exact tests
+before, which lose no hit: no term is as long and has as nearly the same characters, in numpy; then, no term is left
+where as many characters are deleted from both as may be wrong. A misspelled form that clean labelled texts
 use as a word of their own has no weight, or less.
 Each hit is scored in a window of words around it: quotation marks and words of reporting speak for quotation, second persons
 and further hits for abuse. A logistic regression on the sums of both kinds, exact and misspelled, gives the score. One narrow pass over whole texts.
@@ -11,6 +12,7 @@ and further hits for abuse. A logistic regression on the sums of both kinds, exa
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass, field
 
@@ -138,47 +140,101 @@ class Lexicon:
         return best if best[0] > 0 else (0.0, 0)
 
 
-class Lookups(dict):
-    """A white-space-separated word's (weight, errors), remembered."""
+def character_sets(words: list[str]) -> np.ndarray:
+    """Of each word, not empty, the set of its characters, each one of 64 bits."""
+    at = np.cumsum([0, *map(len, words[:-1])])
+    return np.bitwise_or.reduceat(np.uint64(1) << (np.frombuffer("".join(words).encode("utf-32-le"), np.uint32) & 63).astype(np.uint64), at)
 
-    def __init__(self, lexicon: Lexicon):
-        super().__init__()
-        self.lexicon = lexicon
-
-    def __missing__(self, raw: str) -> tuple[float, int]:
-        word = raw.strip(EDGE)
-        got = self.lexicon.lookup(word) if len(word) > 1 else (0.0, 0)
-        if len(self) >= MEMO:
-            self.clear()
-        if len(raw) <= 64:
-            self[raw] = got
-        return got
 
+class Lookups:
+    """The words of a batch that a lexicon finds. Words that pass the first test are remembered with their (weight, errors)."""
 
-def hits(text: str, lookups: Lookups) -> list[tuple[int, float, int, float]]:
+    def __init__(self, lexicon: Lexicon):
+        self.lexicon, self.known = lexicon, {}
+        whole, loose = ([t for t, stem in lexicon.terms if stem == kind and errors(t, stem)] for kind in (False, True))
+        self.whole = list(zip(whole, character_sets(whole).tolist(), strict=True)) if whole else []
+        self.loose = character_sets(loose).tolist() if loose else []
+
+    def candidates(self, words: list[str]) -> np.ndarray:
+        """Whether a word may be one of the lexicon's, by its exact beginning, or by length and characters."""
+        lex = self.lexicon
+        out = np.array([w in lex.exact or any(w[:k] in lex.stems for k in lex.starts) for w in words], bool)
+        sets, n = character_sets(words), np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(n, kind="stable")
+        n = n[order]
+        for term, mask in self.whole:
+            d, mask = errors(term, False), np.uint64(mask)
+            at = order[np.searchsorted(n, len(term) - d, "left") : np.searchsorted(n, len(term) + d, "right")]
+            own = sets[at]
+            out[at] |= (np.bitwise_count(own & ~mask) <= d) & (np.bitwise_count(mask & ~own) <= d)
+        if self.loose:
+            heads = character_sets([w[: STEMS[-1] + 1] for w in words])
+            for mask in self.loose:
+                out |= np.bitwise_count(np.uint64(mask) & ~heads) <= 1
+        return out
+
+    def found(self, texts: list[list[str]]) -> dict[str, tuple[float, int]]:
+        """(weight, errors) of each word, with its marks, that the lexicon finds."""
+        raw = list(set().union(*texts))
+        bare = [w.strip(EDGE) for w in raw]
+        long = [i for i, w in enumerate(bare) if len(w) > 1]
+        if not long:
+            return {}
+        out = {}
+        for i in np.array(long)[self.candidates([bare[i] for i in long])].tolist():
+            got = self.known.get(bare[i])
+            if got is None:
+                got = self.lexicon.lookup(bare[i])
+                if len(self.known) >= MEMO:
+                    self.known.clear()
+                self.known[bare[i]] = got
+            if got[0]:
+                out[raw[i]] = got
+        return out
+
+
+def words_of(text: str | None) -> list[str]:
+    return (text or "").lower().split()
+
+
+def hits(words: list[str], lexicon_words: dict) -> list[tuple[int, float, int, float]]:
     """(word's place, weight, errors, share of abuse from 0 to 1) of each hit of the lexicon."""
-    words = text.lower().split()
-    found = [(i, *h) for i, h in enumerate(map(lookups.__getitem__, words)) if h[0]]
+    if lexicon_words.keys().isdisjoint(words):
+        return []
+    found = [(i, *lexicon_words[w]) for i, w in enumerate(words) if w in lexicon_words]
     out = []
     places = [i for i, _, _ in found]
     for k, (i, w, d) in enumerate(found):
-        near = words[max(0, i - WINDOW) : i + WINDOW + 1]
+        near = [x.strip(EDGE) for x in words[max(0, i - WINDOW) : i + WINDOW + 1]]
         quoted = words[i][0] in QUOTES or words[i].rstrip(".,;:!?")[-1:] in QUOTES
-        report = sum(x.strip(EDGE) in REPORTING for x in near)
-        address = sum(x.strip(EDGE) in ADDRESS for x in near)
+        report = sum(x in REPORTING for x in near)
+        address = sum(x in ADDRESS for x in near)
         more = sum(0 < abs(places[j] - i) <= WINDOW for j in range(max(0, k - WINDOW), min(len(places), k + WINDOW + 1)))
         z = 1.5 + address + more - 2.0 * quoted - 1.0 * report
-        out.append((i, w, d, 1 / (1 + np.exp(-z))))
+        out.append((i, w, d, 1 / (1 + math.exp(-z))))
     return out
 
 
 FEATURES = 7
 
 
-def features(text: str | None, lookups: Lookups) -> list[float]:
+#: Texts whose words are looked up together.
+TOGETHER = 256
+
+
+def features(texts: list, lookups: Lookups) -> list[list[float]]:
+    out = []
+    for at in range(0, len(texts), TOGETHER):
+        words = [words_of(t) for t in texts[at : at + TOGETHER]]
+        found = lookups.found(words)
+        out += [measures(w, found) for w in words]
+    return out
+
+
+def measures(words: list[str], found: dict) -> list[float]:
     """Of all hits; and of the misspelled ones again, so that a fit can trust them less. Where labelled texts have none, they count as the others do."""
-    got = hits(text or "", lookups)
-    n = max(1, len((text or "").split()))
+    got = hits(words, found)
+    n = max(1, len(words))
     if not got:
         return [0.0] * FEATURES
     abuse, quote = np.array([(w * c, w * (1 - c)) for _, w, _, c in got]).T
@@ -208,7 +264,7 @@ class ToxicityModel:
     def scores(self, texts: list) -> np.ndarray:
         if self.weights is None:
             return np.full(len(texts), self.prior)
-        x = np.array([features(t, self.table()) for t in texts]).reshape(len(texts), FEATURES)
+        x = np.array(features(texts, self.table())).reshape(len(texts), FEATURES)
         return 1 / (1 + np.exp(-np.clip(np.column_stack([x, np.ones(len(x))]) @ self.weights, -40, 40)))
 
 
@@ -217,8 +273,7 @@ def terms_of(text: str) -> set[tuple[str, bool, int]]:
 
     A term is supported by the contexts it is seen in: the words of a text that was copied, even with edits, have one context.
     """
-    words = text.lower().split()
-    bare = [w.strip(EDGE) for w in words]
+    bare = [w.strip(EDGE) for w in words_of(text)]
     out = set()
     for w, before, after in zip(bare, ["", *bare], [*bare[1:], ""], strict=False):
         if len(w) > 1:
@@ -281,12 +336,11 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
         import pyarrow as pa
 
         for b in batches:
-            out = []
-            for t, y, h in zip(b.column(0), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                words = {w.strip(EDGE) for w in t.as_py().lower().split()}
+            texts, out = [words_of(t.as_py()) for t in b.column(0)], []
+            found = [m.table().found(texts) for m in lexicons]
+            for words, y, h in zip(texts, b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 for k in (h, 2):
-                    found = lexicons[k].table()
-                    out += [(k, w, y) for w in words if found[w][1]]
+                    out += [(k, f, y) for f in {w.strip(EDGE) for w in set(words) & found[k].keys() if found[k][w][1]}]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int32(), pa.string(), pa.int32()))], ["lexicon", "form", "label"])
 
     counted = sample.mapInArrow(misspelled, "lexicon int, form string, label int").groupBy("lexicon", "form").agg(F.sum("label").alias("a"), F.sum(1 - F.col("label")).alias("b"))
@@ -304,7 +358,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id"
         import pyarrow as pa
 
         for b in batches:
-            x = [features(t.as_py(), tables[h].table()) for t, h in zip(b.column(0), b.column(2).to_pylist(), strict=True)]
+            both = [features(b.column(0).to_pylist(), m.table()) for m in tables]
+            x = [both[h][i] for i, h in enumerate(b.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), b.column(1)], ["x", "label"])
 
     got = sorted((r["x"], r["label"]) for r in sample.mapInArrow(measured, "x array<double>, label int").collect())

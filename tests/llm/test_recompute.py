@@ -302,3 +302,15 @@ def test_misspelled_and_short_terms(spark):
     rows += [(i, " ".join([*fill(20), t, *fill(20)])) for i, t in test.items()]
     got = {r["doc_id"]: r["predicted"] for r in tox.toxicity_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()}
     assert [got[i] for i in test] == [1, 1, 1, 1, 1, 0, 1] and np.mean([got[i] == y for i, y in labels]) > 0.99
+
+
+def test_words_that_may_match_pass_the_first_test():
+    """Whatever lookup() finds, the test by length and characters lets through."""
+    rng = random.Random(12)
+    word = lambda lo, hi: "".join(rng.choice("abcdéß日") for _ in range(rng.randint(lo, hi)))
+    terms = {(word(4, 11), False): 2.0 for _ in range(30)} | {(word(4, 6), True): 1.5 for _ in range(10)} | {(word(2, 3), False): 1.0 for _ in range(3)}
+    lookups = tox.Lookups(tox.Lexicon(terms))
+    words = sorted({word(2, 13) for _ in range(3000)} | {t[1:] + t[0] for t, _ in terms} | {t[:2] + t[3:2:-1] + t[4:] + "x" for t, _ in terms} | {t + "ab" for t, _ in terms})
+    found = lookups.found([words, [f"({w})!" for w in words]])
+    assert {w for w in words if lookups.lexicon.lookup(w)[0]} == {w for w in found if w in words} and len(found) > 200
+    assert all(found[f"({w})!"] == found[w] for w in words if w in found)
