@@ -73,3 +73,15 @@ def test_retry():
     assert retried(f, ["a"], base=0.001) == ["a"] and len(calls) == 3
     with pytest.raises(OSError):
         retried(lambda x: (_ for _ in ()).throw(OSError()), [], max_retries=1, base=0.001)
+
+
+def test_many_queries_are_dealt_and_not_collected(spark):
+    from branchlight.operators.knn import knn_exact
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.standard_normal((300, 5)), np.ones((40, 5))])
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "content_id long, vector array<double>")
+    asked = items.where("content_id % 3 = 0").selectExpr("concat('q', content_id) as query_id", "vector")
+    few, many = (sorted(map(tuple, knn_exact(items, asked, 7, broadcast=b, bucket=50).select("query_id", "rank", "content_id", F.round("distance", 9)).collect())) for b in (1 << 20, 10))
+    assert few == many and len(few) == 7 * asked.count()
+    assert knn_exact(items, asked, 0).count() == 0
