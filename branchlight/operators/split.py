@@ -195,15 +195,16 @@ def grow(x: np.ndarray, depth: int, config: TreeConfig, strategy: SplitStrategy
     return out
 
 
-def divisive(items: DataFrame, config: TreeConfig, local_max: int = LOCAL_MAX, strategy: SplitStrategy | None = None, keep: Callable[[DataFrame], DataFrame] | None = None, said: list | None = None) -> DataFrame:
+def divisive(items: DataFrame, config: TreeConfig, local_max: int = LOCAL_MAX, strategy: SplitStrategy | None = None, keep: Callable[[DataFrame], DataFrame] | None = None, said: list | None = None, below: bool = False) -> DataFrame:
     """items(seq, vector, ...) -> the same with path array<int>, unsplittable and decisions (see split_decisions()): the tree built from the top.
 
     A level's groups over local_max rows go together through passes over all executors: k-means for each k that the rule asks for, then the
     statistics of its buckets, by which the rule decides. Each group that is small enough is finished in one task, with the whole subtree below it.
-    keep: writes a table and reads it again, between levels. said takes the records of the large groups' decisions. A strategy of one's own sees only groups of up to local_max rows, so local_max must then cover all.
+    below: items have a path already, and the subtree of each path's items is built below it. keep: writes a table and reads it again, between levels. said takes the records of the large groups' decisions. A strategy of one's own sees only groups of up to local_max rows, so local_max must then cover all.
     """
     keep = keep or (lambda df: df)
-    rows = items.withColumn("__at", F.array().cast("array<int>"))
+    rows = items.withColumnRenamed("path", "__at") if below else items.withColumn("__at", F.array().cast("array<int>"))
+    own = [c for c in items.columns if not (below and c == "path")]
     done: list[DataFrame] = []
     while True:
         sizes = rows.groupBy("__at").agg(F.count("*").alias("n")).where(F.col("n") > max(local_max, config.leaf_target))
@@ -222,9 +223,9 @@ def divisive(items: DataFrame, config: TreeConfig, local_max: int = LOCAL_MAX, s
         for c in cut[1:]:
             placed = placed.unionByName(c)
         placed = keep(placed.drop("__group"))
-        columns = [*items.columns, "path", "unsplittable", F.lit(None).cast("array<string>").alias("decisions")]
+        columns = [*own, "path", "unsplittable", F.lit(None).cast("array<string>").alias("decisions")]
         done.append(placed.where("__end").select(*columns))
-        rows = placed.where("not __end").select(*items.columns, F.col("path").alias("__at"))
+        rows = placed.where("not __end").select(*own, F.col("path").alias("__at"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -1,16 +1,18 @@
 """The tree of content: ingest, query, maintain, label, browse, persist.
 
-A tree is two DataFrames and a little state on the driver:
+A tree is two tables and a little state on the driver:
 items(seq, content_id, text, metadata, raw, vector, path, unsplittable), one row per content, path being null until a reducer is fitted,
-and nodes(node_id, parent_id, path, is_leaf, count, vsum, unsplittable, label), a roll-up of items along their paths. Sums and counts
-are always those of the items that are there, so removal rolls back exactly. Batches are routed against the tree as it is,
-then overfull leaves are split; one batch is written once.
+and nodes(node_id, parent_id, path, is_leaf, count, vsum, unsplittable, label).
+
+Items lie in segments, one for each batch. A batch is routed against the tree as it is; only leaves that it overfills are read, split and written
+anew, with the batch's own rows, as the new segment. Older rows of such leaves are retired by a short list of (path, version), removed ones by a list of seq;
+both lists are held under LISTED rows, so that reading joins them by broadcast. When there are too many segments or the lists are full, items are written together.
+Nodes take the batch's sums, and lose the sums of what is removed.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
@@ -18,16 +20,22 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..config import TreeConfig
-from ..functions.vectors import doubles, normalise
-from ..operators import knn
-from ..operators.aggregates import nearest, roll_up
-from ..operators.labels import candidates, function_labels, keywords, should_label
+from ..functions.vectors import distance, doubles, normalise
+from ..operators import embedders, knn
+from ..operators.aggregates import roll_up, vector_sums
+from ..operators.labels import KeywordLabeler, LLMLabeler, candidates, keyword_labels, labels_by, should_label
 from ..operators.pca import PCAState, transform_pca
-from ..operators.split import divisive
+from ..operators.split import LOCAL_MAX, divisive, split_decisions
+from ..sources.shared import dropped, folder_of, written
 from .browse import collapsed, display_labels, outline
 
 ITEMS = "seq long, content_id string, text string, metadata string, raw array<double>, vector array<double>, path array<int>, unsplittable boolean"
 NODES = "node_id long, parent_id long, path array<int>, is_leaf boolean, count long, vsum array<double>, unsplittable boolean, label string"
+RETIRED, REMOVED = "path array<int>, before long", "seq long"
+#: Rows of the lists of retired leaves and removed items, and segments, up to which items aren't written together.
+LISTED, SEGMENTS = 10_000, 16
+#: Children of a level's nodes that a broadcast may hold; levels with more are joined by path.
+TOP = 4_096
 
 
 @dataclass
@@ -76,21 +84,54 @@ def tree_from_dict(d: dict) -> Branch | Content:
 
 
 class Tree:
-    """embed: a Column -> Column expression from text to vectors, or None if all contents come with embeddings.
+    """embed: a Column -> Column expression from text to vectors; or embedder: an object with embed_batch(texts), or a function of one text, run in Arrow
+    batches on the executors with its own retries, once for each distinct text; or neither, if all contents come with embeddings.
 
-    state: an object with load() and save(state dict), such as those of branchlight.sources.states; it is loaded at once.
+    labeler: an object with label(request), or a function of texts. strategy: how groups split, by default as configured.
+    state: an object with load() and save(state dict), such as those of branchlight.sources.states; it is loaded at once. DataFrames that a tree gives
+    read its tables; those that two later changes replace are deleted.
     """
 
-    def __init__(self, spark: SparkSession, config: TreeConfig | None = None, embed: Callable[[Column], Column] | None = None, labeler: Callable[[list[str]], str] | None = None, state: Any = None):
-        self.spark, self.config, self.embed, self.labeler, self.state = spark, config or TreeConfig(), embed, labeler, state
-        self.items: DataFrame = spark.createDataFrame([], ITEMS)
+    def __init__(self, spark: SparkSession, config: TreeConfig | None = None, embed: Callable[[Column], Column] | None = None, labeler: Any = None, state: Any = None, *, embedder: Any = None, strategy: Any = None):
+        self.spark, self.config, self.embed, self.labeler, self.state, self.embedder, self.strategy = spark, config or TreeConfig(), embed, labeler, state, embedder, strategy
         self.nodes: DataFrame = spark.createDataFrame([], NODES)
         self.pca = PCAState() if self.config.pca_dims else None
-        self.next_seq, self.inserts, self.dim, self.fitted_seq = 0, 0, None, 0
+        self.next_seq, self.inserts, self.dim, self.fitted_seq, self.version, self.size = 0, 0, None, 0, 0, 0
+        self.batches: dict[str, int] = {}
+        self.decisions: DataFrame | None = None
+        self.cache: DataFrame | None = None
+        self._old: list[list[DataFrame]] = [[], []]
+        self._one_segment(None)
         saved = state.load() if state is not None else None
         if saved:
             self.restore(saved)
 
+    def _one_segment(self, items: DataFrame | None) -> None:
+        self.segments: list[tuple[int, DataFrame]] = [] if items is None else [(self.version, items)]
+        self.retired, self.removed, self.listed = None, None, 0
+
+    @property
+    def items(self) -> DataFrame:
+        """All contents as they are now."""
+        if not self.segments:
+            return self.spark.createDataFrame([], ITEMS)
+        names = [c.split()[0] for c in ITEMS.split(", ")]
+        out = None
+        for v, t in self.segments:
+            one = t.select(*names, F.lit(v).cast("long").alias("__v"))
+            out = one if out is None else out.unionByName(one)
+        hint = F.broadcast if self.listed <= LISTED else lambda t: t
+        if self.retired is not None:
+            gone = hint(self.retired.groupBy(F.col("path").alias("__p")).agg(F.max("before").alias("__b")))
+            out = out.join(gone, (F.col("path") == F.col("__p")) & (F.col("__v") < F.col("__b")), "left_anti")
+        if self.removed is not None:
+            out = out.join(hint(self.removed), "seq", "left_anti")
+        return out.select(*names)
+
+    def node_items(self, path: Sequence[int]) -> DataFrame:
+        """The contents below a node."""
+        return self.items.where(F.slice("path", F.lit(1), F.lit(len(path))) == F.array(*[F.lit(int(i)) for i in path]).cast("array<int>"))
+
     # -- ingest
 
     def add(self, contents: Sequence[Content]) -> list[Any]:
@@ -105,101 +146,161 @@ class Tree:
         """Its contents in pre-order; the structure isn't kept."""
         return self.add(list(branch.contents()))
 
-    def ingest(self, rows: DataFrame) -> int:
-        """rows(ordinal, content_id, text, metadata, embedding), a batch of any size; the number of rows."""
+    def ingest(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> int:
+        """rows(ordinal, content_id, text, metadata, embedding), a batch of any size; the number of rows.
+
+        batch: a source's name and a number that grows; a batch of a number already seen is left out.
+        """
+        if batch is not None and self.batches.get(batch[0], -1) >= batch[1]:
+            return 0
         rows = rows.select("ordinal", F.col("content_id").cast("string").alias("content_id"), "text", "metadata", doubles("embedding").alias("embedding"))
-        if self.embed is not None:
-            given = rows.where("embedding is not null")
-            rows = given.unionByName(rows.where("embedding is null").withColumn("embedding", doubles(self.embed(F.col("text")))))
-        numbered = self._numbered(rows)
-        batch = self._kept(numbered.select((F.col("n") + self.next_seq).alias("seq"), "content_id", "text", "metadata", normalise("embedding").alias("raw")))
-        n, dims, short = batch.agg(F.count("*"), F.min(F.size("raw")), F.max(F.size("raw"))).first()
+        numbered, n = self._numbered(self._embedded(rows), ["ordinal"])
         if not n:
             return 0
+        first = self.next_seq
+        fresh = self._kept(numbered.select((F.col("n") + first).alias("seq"), "content_id", "text", "metadata", normalise("embedding").alias("raw")), "batch")
+        dims, short = fresh.agg(F.min(F.size("raw")), F.max(F.size("raw"))).first()
         if dims != short or (self.dim or dims) != dims:
             raise ValueError(f"vectors of {self.dim or short} and {dims} dimensions don't go together")
         self.dim = dims
         self.next_seq += n
-        fresh = batch.withColumns({"vector": F.col("raw"), "path": F.lit(None).cast("array<int>"), "unsplittable": F.lit(False)})
+        self.size += n
+        self.version += 1
+        if batch is not None:
+            self.batches[batch[0]] = batch[1]
+        rows = fresh.withColumns({"vector": F.col("raw"), "path": F.lit(None).cast("array<int>"), "unsplittable": F.lit(False)})
         if self.pca is not None and not self.pca.is_fitted:
-            self.items = self._kept(self.items.unionByName(fresh))
-            if self.items.count() >= self.config.pca_warmup:
+            self.segments.append((self.version, self._kept(rows, "items")))
+            if self.size >= self.config.pca_warmup:
                 self._fit(self.items)
                 self._rebuild()
         else:
-            self._insert(self._projected(fresh))
+            self._insert(self._projected(rows), first)
             if self.pca is not None and self.config.pca_mode == "incremental":
                 pending = self.items.where(F.col("seq") >= self.fitted_seq)
                 if pending.count() >= self.config.pca_batch_size:
                     self._advance(pending)
+        dropped(numbered, fresh)
         self.inserts += n
         every = self.config.rebalance.every_n_inserts
         if self.config.rebalance.enabled and every and self.inserts >= every and (self.pca is None or self.pca.is_fitted):
             self.rebalance()
         else:
+            self._together()
             self.save()
         return n
 
-    def _numbered(self, rows: DataFrame) -> DataFrame:
-        """n from 0 in the order of `ordinal`, by a sort over ranges and one count per range: no task sees all rows."""
-        dealt = rows.repartitionByRange("ordinal").sortWithinPartitions("ordinal").withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
-        dealt = self._kept(dealt)
+    def _embedded(self, rows: DataFrame) -> DataFrame:
+        """Only contents that come without a vector are embedded; an embedder sees each distinct text once, and none that it has seen before."""
+        if self.embed is not None:
+            given = rows.where("embedding is not null")
+            return given.unionByName(rows.where("embedding is null").withColumn("embedding", doubles(self.embed(F.col("text")))))
+        if self.embedder is None:
+            return rows
+        done, cache = embedders.embedded(rows, self.embedder, cache=self.cache, keep=lambda t: written(t, "vectors"))
+        self.cache = cache
+        return done.withColumn("embedding", doubles("embedding"))
+
+    def cache_clear(self) -> None:
+        """Forgets the texts that the embedder has seen."""
+        self.cache = None
+
+    def _numbered(self, rows: DataFrame, order: list[str], name: str = "n") -> tuple[DataFrame, int]:
+        """rows with numbers from 0 in the order given, by a sort over ranges and one count per range, and how many: no task sees all rows."""
+        dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))
+        dealt = self._kept(dealt, "numbered")
         before, total = {}, 0
         for p, n in sorted(tuple(r) for r in dealt.groupBy("__p").agg(F.count("*")).collect()):
             before[p], total = total, total + n
         if not before:
-            return dealt.select(*rows.columns, F.lit(0).cast("long").alias("n"))
+            return dealt.select(*rows.columns, F.lit(0).cast("long").alias(name)), 0
         start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-        return dealt.select(*rows.columns, (start[F.col("__p")] + F.col("__i")).cast("long").alias("n"))
-
-    def _insert(self, fresh: DataFrame) -> None:
-        if self.nodes.isEmpty() or self.items.isEmpty():
-            grown = self._grown(fresh)
-        else:
-            grown = self._routed(fresh)
-        everything = self.items.unionByName(grown.select(*self.items.columns))
-        full = everything.groupBy("path").agg(F.count("*").alias("n"), F.count_distinct("vector").alias("d")).where((F.col("n") > self.config.leaf_target) & (F.col("d") > 1))
-        full = self._kept(full.select("path"))
-        over = everything.join(full, "path", "left_semi")
-        rest = everything.join(full, "path", "left_anti")
-        split = self._resplit(over)
-        self.items = self._kept(rest.unionByName(split.select(*rest.columns)))
-        self._refresh()
-
-    def _resplit(self, over: DataFrame) -> DataFrame:
-        """The overfull leaves, each with its subtree grown below its path, in one task a leaf."""
-        from ..operators.split import grow
-        import numpy as np
-        import pandas as pd
+        return dealt.select(*rows.columns, (start[F.col("__p")] + F.col("__i")).cast("long").alias(name)), total
 
-        config = self.config
-
-        def run(table: pd.DataFrame) -> pd.DataFrame:
-            table = table.sort_values("seq", ignore_index=True)
-            at = list(table["path"].iloc[0])
-            parts = [pd.DataFrame({"seq": table["seq"].to_numpy()[r], "path": [[int(v) for v in [*at, *p]]] * len(r), "unsplittable": u}) for p, u, r in grow(np.array(table["vector"].tolist(), float), len(at), config)]
-            return pd.concat(parts)
-
-        placed = over.select("seq", "vector", "path").groupBy("path").applyInPandas(run, "seq long, path array<int>, unsplittable boolean")
-        return over.drop("path", "unsplittable").join(placed, "seq")
-
-    def _grown(self, rows: DataFrame) -> DataFrame:
-        return divisive(rows.drop("path", "unsplittable"), self.config)
+    def _insert(self, fresh: DataFrame, first: int) -> None:
+        """The batch's rows, of seq `first` and on, into the leaves they are led to; leaves over leaf_target are split."""
+        if self.nodes.isEmpty() or self.size == self.next_seq - first:
+            self.segments = [*self.segments, (self.version, self._kept(self._grown(fresh), "items"))]
+            self._refresh()
+            return
+        routed = self._kept(self._routed(fresh), "routed")
+        leaves = self.nodes.where("is_leaf and not unsplittable").select("path", F.col("count").alias("had"))
+        full = routed.groupBy("path").agg(F.count("*").alias("n")).join(leaves, "path").where(F.col("n") + F.col("had") > self.config.leaf_target)
+        full = self._kept(full.select("path"), "full")
+        n_full = full.count()
+        names = [c.split()[0] for c in ITEMS.split(", ")]
+        segment = routed.join(full, "path", "left_anti").select(*names, F.lit(None).cast("int").alias("from_depth"))
+        if n_full:
+            over = self.items.join(full, "path", "left_semi").select(*names).unionByName(routed.join(full, "path", "left_semi").select(*names))
+            split = self._grown(over.withColumn("from_depth", F.size("path")), below=True)
+            segment = segment.unionByName(split.select(*segment.columns))
+            retired = full.withColumn("before", F.lit(self.version).cast("long"))
+            self.retired = self._kept(retired if self.retired is None else self.retired.unionByName(retired), "retired")
+            self.listed += n_full
+        segment = self._kept(segment, "items")
+        self.segments = [*self.segments, (self.version, segment)]
+        self._take(segment, first)
+        dropped(routed, full)
+
+    def _take(self, segment: DataFrame, first: int) -> None:
+        """Nodes with the sums of the segment's new rows on all of their paths, and of its older rows below the leaves that they have left."""
+        fresh = roll_up(segment.where(F.col("seq") >= first).select("path", "vector"))
+        deeper = segment.where((F.col("seq") < first) & (F.size("path") > F.col("from_depth")))
+        sums = vector_sums(deeper, ["path", "from_depth"])
+        below = F.transform(F.sequence(F.col("from_depth") + 1, F.size("path")), lambda i: F.slice("path", F.lit(1), i))
+        moved = vector_sums(sums.select(F.explode(below).alias("prefix"), "count", "vsum"), ["prefix"], "vsum", weight="count")
+        delta = vector_sums(fresh.unionByName(moved), ["prefix"], "vsum", weight="count").select(F.col("prefix").alias("path"), F.col("count").alias("__n"), F.col("vsum").alias("__s"))
+        ends = segment.groupBy("path").agg(F.max("unsplittable").alias("__u"))
+        inner = segment.where(F.size("path") > F.col("from_depth")).select(F.slice("path", F.lit(1), F.col("from_depth")).alias("path"), F.lit(True).alias("__inner")).distinct()
+        both = self.nodes.join(delta, "path", "full_outer").join(ends, "path", "left").join(inner, "path", "left")
+        vsum = F.when(F.col("vsum").isNull() | (F.coalesce("count", F.lit(0)) == 0), F.col("__s")).when(F.col("__s").isNull(), F.col("vsum")).otherwise(F.zip_with("vsum", "__s", lambda x, y: x + y))
+        both = both.select("node_id", "parent_id", "path", F.when(F.col("__inner"), False).otherwise(F.coalesce("is_leaf", F.col("__u").isNotNull())).alias("is_leaf"), (F.coalesce("count", F.lit(0)) + F.coalesce("__n", F.lit(0))).alias("count"), vsum.alias("vsum"), F.coalesce("unsplittable", F.lit(False)).__or__(F.coalesce("__u", F.lit(False))).alias("unsplittable"), "label")
+        both = self._kept(both, "nodes")
+        self._set_nodes(self._named(both))
+        dropped(both)
+
+    def _named(self, nodes: DataFrame) -> DataFrame:
+        """nodes in which those without an id get the next ids in the order of paths, and their parents'."""
+        top = nodes.agg(F.max("node_id")).first()[0]
+        fresh, n = self._numbered(nodes.where("node_id is null"), ["path"])
+        if not n:
+            return nodes
+        fresh = fresh.withColumn("node_id", F.col("n") + (0 if top is None else top + 1)).drop("n")
+        known = nodes.where("node_id is not null")
+        ids = known.select("path", "node_id").unionByName(fresh.select("path", "node_id")).withColumnsRenamed({"path": "__up", "node_id": "__id"})
+        up = F.when(F.size("path") > 0, F.slice("path", F.lit(1), F.size("path") - 1))
+        fresh = fresh.withColumn("__up", up).join(ids, "__up", "left").withColumn("parent_id", F.col("__id"))
+        return known.unionByName(fresh.select(*nodes.columns))
+
+    def _grown(self, rows: DataFrame, below: bool = False) -> DataFrame:
+        """Rows with paths, from the top or below the paths that they have. Decisions that are to be logged go to self.decisions and the log."""
+        said: list = []
+        rows = rows.drop("unsplittable") if below else rows.drop("path", "unsplittable")
+        out = divisive(rows, self.config, 1 << 60 if self.strategy else LOCAL_MAX, self.strategy, keep=lambda t: written(t, "level"), said=said, below=below)
+        if self.config.log_split_decisions:
+            out = written(out, "grown")
+            self.decisions = written(split_decisions(out, said), "decisions")
+            from ..operators.split import log
+
+            for r in self.decisions.select("line").toLocalIterator():
+                log.info("%s", r["line"])
+        return out.drop("decisions")
 
     def _routed(self, rows: DataFrame) -> DataFrame:
-        """T4: rows with the path of the leaf that the nearest centroids lead to, one level at a time."""
-        inner = self.nodes.where("not is_leaf").select("node_id")
-        depth = self.nodes.agg(F.max(F.size("path"))).first()[0]
-        root = self.nodes.where(F.size("path") == 0).first()["node_id"]
-        centers = self.nodes.where("parent_id is not null").select(F.col("parent_id").alias("at"), F.col("node_id").alias("center_id"), F.element_at("path", -1).alias("ordinal"), F.expr("transform(vsum, x -> x / greatest(count, 1))").alias("centroid"))
-        here = rows.drop("path").withColumn("at", F.lit(root).cast("long"))
-        there = here.limit(0)
-        for _ in range(depth):
-            there = there.unionByName(here.join(F.broadcast(inner.withColumnRenamed("node_id", "at")), "at", "left_anti").select(*there.columns))
-            moving = here.join(F.broadcast(inner.withColumnRenamed("node_id", "at")), "at", "left_semi")
-            here = nearest(moving, centers, on=["at"]).drop("at", "distance").withColumnRenamed("center_id", "at").select(*there.columns)
-        there = there.unionByName(here)
-        return there.join(F.broadcast(self.nodes.select(F.col("node_id").alias("at"), "path")), "at").drop("at")
+        """T4: rows with the path of the leaf that the nearest centroids lead to, one level at a time.
+
+        The upper levels' children, at most TOP by max_branches, are broadcast; below, where keys are many, rows meet their node's children by path.
+        """
+        kids = self.nodes.where(F.size("path") > 0).select(F.slice("path", F.lit(1), F.size("path") - 1).alias("path"), F.struct(F.element_at("path", -1).alias("o"), F.expr("transform(vsum, x -> x / greatest(count, 1))").alias("c")).alias("k"))
+        kids = self._kept(kids.groupBy("path").agg(F.collect_list("k").alias("__kids")).withColumn("__depth", F.size("path")), "kids")
+        depth = kids.agg(F.max("__depth")).first()[0]
+        here = rows.withColumn("path", F.array().cast("array<int>"))
+        for level in range(0 if depth is None else depth + 1):
+            table = kids.where(F.col("__depth") == level).drop("__depth")
+            joined = here.join(F.broadcast(table) if self.config.max_branches ** (level + 1) <= TOP else table, "path", "left")
+            best = F.array_min(F.transform("__kids", lambda c: F.struct(distance(F.col("vector"), c["c"]).alias("d"), c["o"].alias("o"))))["o"]
+            here = joined.withColumn("path", F.when(F.col("__kids").isNull(), F.col("path")).otherwise(F.concat("path", F.array(best)))).drop("__kids")
+        return here
 
     def _projected(self, rows: DataFrame) -> DataFrame:
         """V4: the routing vector of each raw one."""
@@ -219,8 +320,8 @@ class Tree:
     # -- maintain
 
     def rebalance(self) -> None:
-        """Fit the reducer, project everything anew and build the tree from the top."""
-        if self.pca is not None and not self.items.isEmpty():
+        """Fit the reducer, project everything anew and build the tree from the top. Labels go."""
+        if self.pca is not None and self.size:
             if self.config.pca_mode == "freeze" or not self.pca.is_fitted:
                 self._fit(self.items)
             elif self.fitted_seq < self.next_seq:
@@ -230,87 +331,118 @@ class Tree:
         self.save()
 
     def _rebuild(self) -> None:
-        rows = self._projected(self.items)
-        self.items = self._kept(self._grown(rows).select(*self.items.columns)) if not self.items.isEmpty() else self.items
+        if self.size:
+            self.version += 1
+            names = [c.split()[0] for c in ITEMS.split(", ")]
+            self._replace(self._kept(self._grown(self._projected(self.items)).select(*names), "items"))
         self._refresh()
 
+    def _replace(self, items: DataFrame) -> None:
+        self._forget(*(t for _, t in self.segments), self.retired, self.removed)
+        self._one_segment(items)
+
+    def _together(self) -> None:
+        """Writes items together where there are too many segments or listed rows; such a pass comes once in many batches."""
+        if len(self.segments) > SEGMENTS or self.listed > LISTED:
+            self._replace(self._kept(self.items, "items"))
+
     def _refresh(self) -> None:
-        """Nodes from items; the root stays if there are none."""
+        """All nodes anew from all items; the root stays if there are none."""
         placed = self.items.where("path is not null")
         sums = roll_up(placed.select("path", "vector"))
-        ends = placed.groupBy(F.col("path").alias("prefix")).agg(F.max("unsplittable").alias("unsplittable"))
-        old = self.nodes.select(F.col("path").alias("prefix"), "label")
-        rows = sums.join(ends, "prefix", "left").join(old, "prefix", "left")
-        if placed.isEmpty():
-            self.nodes = self.spark.createDataFrame([(0, None, [], True, 0, [0.0] * (self.dim or 0), False, None)], NODES)
-            return
-        # pre-order is the order of paths; nodes number a fraction of the items, given by the leaf size
-        rows = rows.withColumn("node_id", (F.row_number().over(Window.orderBy("prefix")) - 1).cast("long"))
-        up = rows.select(F.col("prefix").alias("parent"), F.col("node_id").alias("parent_id"))
-        parent = F.when(F.size("prefix") > 0, F.slice("prefix", F.lit(1), F.size("prefix") - 1))
-        rows = rows.withColumn("parent", parent).join(up, "parent", "left")
-        self.nodes = self._kept(rows.select("node_id", "parent_id", F.col("prefix").alias("path"), F.col("unsplittable").isNotNull().alias("is_leaf"), "count", "vsum", F.coalesce("unsplittable", F.lit(False)).alias("unsplittable"), "label"))
+        ends = placed.groupBy(F.col("path").alias("prefix")).agg(F.max("unsplittable").alias("u"))
+        rows = self._kept(sums.join(ends, "prefix", "left").select(F.lit(None).cast("long").alias("node_id"), F.lit(None).cast("long").alias("parent_id"), F.col("prefix").alias("path"), F.col("u").isNotNull().alias("is_leaf"), "count", "vsum", F.coalesce("u", F.lit(False)).alias("unsplittable"), F.lit(None).cast("string").alias("label")), "nodes")
+        self._set_nodes(self._empty() if rows.isEmpty() else self._named(rows))
+        dropped(rows)
+
+    def _empty(self) -> DataFrame:
+        return self.spark.createDataFrame([(0, None, [], True, 0, [0.0] * (len(self.pca.components) if self.pca is not None and self.pca.is_fitted else self.dim or 0), False, None)], NODES)
+
+    def _set_nodes(self, nodes: DataFrame) -> None:
+        old, self.nodes = self.nodes, self._kept(nodes, "nodes")
+        self._forget(old)
 
     def remove(self, *ids: Any) -> int:
-        """Of each id the first item that has it; how many were removed. Written once, and only if any was."""
-        want = self.spark.createDataFrame([(json.dumps(i),) for i in dict.fromkeys(ids)], "content_id string") if ids else None
-        if want is None:
+        """Of each id the first item that has it; how many were removed. Their sums leave the nodes above them, and nodes without items go,
+        but for the root. Written once, and only if any was."""
+        if not ids:
             return 0
-        gone = self._kept(self.items.join(want, "content_id", "left_semi").groupBy("content_id").agg(F.min("seq").alias("seq")))
+        want = self.spark.createDataFrame([(json.dumps(i),) for i in dict.fromkeys(ids)], "content_id string")
+        found = self.items.join(want, "content_id", "left_semi").groupBy("content_id").agg(F.min_by(F.struct("seq", "path", "vector"), "seq").alias("r"))
+        gone = self._kept(found.select("r.*"), "gone")
         n = gone.count()
-        if n:
-            self.items = self._kept(self.items.join(gone.select("seq"), "seq", "left_anti").select(*self.items.columns))
-            self._refresh()
-            self.save()
+        if not n:
+            dropped(gone)
+            return 0
+        self.version += 1
+        self.size -= n
+        seqs = gone.select("seq")
+        self.removed = self._kept(seqs if self.removed is None else self.removed.unionByName(seqs), "removed")
+        self.listed += n
+        minus = roll_up(gone.where("path is not null").select("path", "vector")).select(F.col("prefix").alias("path"), F.col("count").alias("__n"), F.col("vsum").alias("__s"))
+        left = self.nodes.join(minus, "path", "left")
+        vsum = F.when(F.col("__s").isNull(), F.col("vsum")).otherwise(F.zip_with("vsum", "__s", lambda x, y: x - y))
+        left = left.select(*[F.col(c) if c not in ("count", "vsum") else (F.col("count") - F.coalesce("__n", F.lit(0))).alias("count") if c == "count" else vsum.alias("vsum") for c in self.nodes.columns]).where("count > 0")
+        left = self._kept(left, "nodes")
+        if left.isEmpty():
+            if not self.nodes.isEmpty():
+                self._set_nodes(self._empty())
+        else:
+            self._set_nodes(left)
+        self._together()
+        dropped(gone, left)
+        self.save()
         return n
 
     def __len__(self) -> int:
-        return self.items.count()
+        return self.size
 
     # -- query
 
     def query(self, queries: DataFrame, k: int = 10, exhaustive: bool = False) -> DataFrame:
-        """queries(query_id, embedding) -> (query_id, rank, content_id, distance, metadata).
+        """queries(query_id, embedding), or (query_id, text) -> (query_id, rank, content_id, distance, metadata).
 
         Not exhaustive: only the leaf that the query is routed to, so fewer than k may come. Before a reducer is fitted: all items, in raw space.
         """
         knn.check_k(k)
         warm = self.pca is not None and not self.pca.is_fitted
+        if "embedding" not in queries.columns:
+            queries = self._embedded(queries.select("query_id", "text", F.lit(None).cast("array<double>").alias("embedding")))
         asked = self._projected(queries.select("query_id", normalise("embedding").alias("raw")))
         meta = self.items.select("content_id", "metadata").dropDuplicates(["content_id"])
         if warm or exhaustive or self.nodes.isEmpty():
             items = self.items.select("content_id", F.col("raw" if warm else "vector").alias("vector"))
             found = knn.knn_exact(items, asked.select("query_id", F.col("raw" if warm else "vector").alias("vector")), k)
         else:
-            q = self._routed(asked.withColumn("path", F.lit(None).cast("array<int>"))).select("query_id", "vector", F.col("path").alias("leaf_id"))
+            q = self._routed(asked).select("query_id", "vector", F.col("path").alias("leaf_id"))
             found = knn.knn_leaf(self.items.select("content_id", "vector", F.col("path").alias("leaf_id")), q, k)
         return found.join(meta, "content_id", "left").select("query_id", "rank", "content_id", "distance", "metadata")
 
-    def nearest_to(self, vector: Sequence[float], k: int = 10, exhaustive: bool = False) -> list[tuple[Any, float, dict]]:
-        one = self.spark.createDataFrame([(0, [float(v) for v in vector])], "query_id int, embedding array<double>")
+    def nearest_to(self, query: str | Sequence[float], k: int = 10, exhaustive: bool = False) -> list[tuple[Any, float, dict]]:
+        """(id, distance, metadata) of the contents nearest to a text or a vector."""
+        if isinstance(query, str):
+            one = self.spark.createDataFrame([(0, query)], "query_id int, text string")
+        else:
+            one = self.spark.createDataFrame([(0, [float(v) for v in query])], "query_id int, embedding array<double>")
         rows = self.query(one, k, exhaustive).orderBy("rank").collect()
         return [(json.loads(r["content_id"]), r["distance"], json.loads(r["metadata"] or "{}")) for r in rows]
 
     # -- labels
 
-    def label(self, labeler: Callable[[list[str]], str] | None = None) -> None:
-        """L1: names for nodes that branch or have siblings; others lose theirs. Without a labeler: keywords."""
-        f = labeler or self.labeler
+    def label(self, labeler: Any = None) -> None:
+        """L1: names for nodes that branch or have siblings; others lose theirs. The labeler given here, else the tree's own, else by config.llm: keywords or a model."""
+        f = labeler or self.labeler or (KeywordLabeler() if self.config.llm.provider == "none" else LLMLabeler(self.config.llm))
         which = should_label(self.nodes.select("node_id", "parent_id")).where("labelled").select("node_id")
-        placed = self.items.where("path is not null").select(F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda i: F.slice("path", F.lit(1), i))).alias("path"), "content_id", "text", "vector")
+        placed = self.items.where("path is not null").select(F.explode(F.transform(F.sequence(F.lit(0), F.size("path")), lambda i: F.slice("path", F.lit(1), i))).alias("path"), "content_id", "text", "metadata", "vector")
         rows = placed.join(self.nodes.join(which, "node_id", "left_semi").select("path", "node_id"), "path")
         centers = self.nodes.select("node_id", F.expr("transform(vsum, x -> x / greatest(count, 1))").alias("centroid"))
-        asked = candidates(rows, centers, self.config.llm.max_samples)
-        if f is not None:
-            named = function_labels(asked, f)
-        else:
-            words = keywords(asked, "node_id")
-            named = words.groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t")).select("node_id", F.array_join("t.term", ", ").alias("label"))
-            named = asked.select("node_id").distinct().join(named, "node_id", "left").select("node_id", F.coalesce("label", F.lit("")).alias("label"))
-        self.nodes = self._kept(self.nodes.drop("label").join(named, "node_id", "left").select(*self.nodes.columns))
+        asked = self._kept(candidates(rows, centers, self.config.llm.max_samples), "asked")
+        named = keyword_labels(asked, f) if isinstance(f, KeywordLabeler) else labels_by(asked, f, self.config.llm.max_label_words)
+        self._set_nodes(self.nodes.drop("label").join(named, "node_id", "left").select(*self.nodes.columns))
+        dropped(asked)
         self.save()
 
-    def organize(self, labeler: Callable[[list[str]], str] | None = None) -> None:
+    def organize(self, labeler: Any = None) -> None:
         self.rebalance()
         self.label(labeler)
 
@@ -333,7 +465,7 @@ class Tree:
         return "\n".join(r["line"] for r in self.outline(max_items, collapse_single_leaf).orderBy("path", "is_item", "ordinal").collect())
 
     def to_branch(self, max_items: int | None = None, collapse_single_leaf: bool = False) -> Branch:
-        """B1: the nested tree on the driver, an export of a bounded size by max_items; embeddings are the raw vectors."""
+        """B1: the nested tree on the driver, an export of a bounded size by max_items; embeddings are the routing vectors."""
         items = self.items.where("path is not null")
         if max_items is not None:
             items = items.withColumn("__r", F.row_number().over(Window.partitionBy("path").orderBy("seq"))).where(F.col("__r") <= max_items)
@@ -344,7 +476,7 @@ class Tree:
                 made[tuple(r["path"][:-1])].children.append(b)
         for r in items.orderBy("seq").collect():
             i = json.loads(r["content_id"])
-            made[tuple(r["path"])].children.append(Content(i, r["text"] or str(i), json.loads(r["metadata"] or "{}"), r["raw"]))
+            made[tuple(r["path"])].children.append(Content(i, r["text"] or str(i), json.loads(r["metadata"] or "{}"), r["vector"]))
         root = made.get((), Branch(0, stored_count=0))
 
         def thin(b: Branch) -> Branch:
@@ -358,31 +490,46 @@ class Tree:
 
     # -- persist
 
-    def _kept(self, df: DataFrame) -> DataFrame:
-        """df with its lineage cut, in the shared folder: a tree lives through many batches, and executors may go."""
-        base = self.spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-        path = f"{base.rstrip('/')}/branchlight/tree-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+    def _kept(self, df: DataFrame, what: str) -> DataFrame:
+        """df with its lineage cut: in the state's own folder if it has one, else in the shared folder. A tree lives through many batches, and executors may go."""
+        keep = getattr(self.state, "keep", None)
+        return keep(df, what) if keep else written(df, f"tree-{what}")
+
+    def _forget(self, *tables: DataFrame | None) -> None:
+        self._old[-1] += [t for t in tables if t is not None and folder_of(t)]
 
     def meta(self) -> dict:
-        return {"version": 2, "next_seq": self.next_seq, "inserts": self.inserts, "dim": self.dim, "fitted_seq": self.fitted_seq, "pca": None if self.pca is None else self.pca.to_dict()}
+        return {"version": 2, "next_seq": self.next_seq, "inserts": self.inserts, "dim": self.dim, "fitted_seq": self.fitted_seq, "size": self.size, "items_version": self.version, "batches": self.batches, "pca": None if self.pca is None else self.pca.to_dict()}
 
     def dump(self) -> dict:
         return {**self.meta(), "items": self.items, "nodes": self.nodes}
 
     def save(self) -> None:
+        """In one commit. A state that keeps tables itself takes only their names; others take all rows."""
         if self.state is not None:
-            self.state.save(self.dump())
+            if hasattr(self.state, "commit"):
+                self.state.commit({**self.meta(), "listed": self.listed}, self.segments, {"nodes": self.nodes, "retired": self.retired, "removed": self.removed})
+            else:
+                self.state.save(self.dump())
+        # what the last but one change replaced
+        first, *rest = self._old
+        used = {folder_of(t) for _, t in self.segments} | {folder_of(t) for t in (self.nodes, self.retired, self.removed) if t is not None}
+        dropped(*(t for t in first if folder_of(t) not in used))
+        self._old = [*rest, []]
 
     def restore(self, saved: dict | Branch) -> None:
         """A saved state, or a nested tree whose contents are then ingested."""
         if isinstance(saved, Branch):
             self.add_branch(saved)
             return
-        self.items, self.nodes = saved["items"], saved["nodes"]
+        self.nodes = saved["nodes"]
         self.next_seq, self.inserts, self.dim, self.fitted_seq = (saved[k] for k in ("next_seq", "inserts", "dim", "fitted_seq"))
+        self.version, self.batches = saved.get("items_version", 0), dict(saved.get("batches") or {})
         self.pca = PCAState.from_dict(saved["pca"]) if saved.get("pca") else None
+        self._one_segment(saved.get("items"))
+        if "segments" in saved:
+            self.segments, self.retired, self.removed, self.listed = saved["segments"], saved.get("retired"), saved.get("removed"), saved.get("listed", 0)
+        self.size = saved["size"] if saved.get("size") is not None else self.items.count()
 
 
 def display(tree: Tree) -> DataFrame:

@@ -11,13 +11,18 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..plans.tree import ITEMS, NODES, Branch, tree_from_dict, tree_to_dict
+from ..plans.tree import ITEMS, NODES, REMOVED, RETIRED, Branch, tree_from_dict, tree_to_dict
+from .shared import folder_of, read_table, write_table
 
 TABLES = {"items": ITEMS, "nodes": NODES}
 
 
 class ParquetState:
-    """K8: a folder per version, and a pointer that is renamed into place once all of it is written."""
+    """K8: tables that are written once, and manifests that name those of a version.
+
+    A commit writes a manifest under a name of its own and renames it to the next number, which fails if that is taken; so there is always a whole
+    version to load, and two writers can't overwrite each other. Tables and manifests older than the version before last are then deleted.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -26,22 +31,64 @@ class ParquetState:
     def _path(self, name: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
+    def _listed(self, folder: str) -> list[str]:
+        at = self._path(folder)
+        return sorted(f.getPath().getName() for f in self.fs.listStatus(at)) if self.fs.exists(at) else []
+
+    def _numbers(self) -> list[int]:
+        return [int(n[9:-5]) for n in self._listed("manifests") if n.startswith("manifest-") and n.endswith(".json")]
+
+    def _manifest(self, number: int) -> dict:
+        stream = self.fs.open(self._path(f"manifests/manifest-{number:012d}.json"))
+        try:
+            return json.loads(bytes(stream.readAllBytes()).decode())
+        finally:
+            stream.close()
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        """df as a table in this state's folder; a commit names it, or it goes."""
+        return write_table(df, f"{self.path}/data/{what}-{uuid.uuid4().hex}")
+
     def load(self) -> dict | None:
-        if not self.fs.exists(self._path("_CURRENT")):
+        numbers = self._numbers()
+        if not numbers:
             return None
-        version = self.spark.read.text(f"{self.path}/_CURRENT/part*").first()[0] if self.fs.getFileStatus(self._path("_CURRENT")).isDirectory() else None
-        meta = json.loads(self.spark.read.option("wholetext", True).text(f"{self.path}/{version}/meta").first()[0])
-        return meta | {t: self.spark.read.schema(s).parquet(f"{self.path}/{version}/{t}") for t, s in TABLES.items()}
+        found = self._manifest(max(numbers))
+        table = lambda name, schema: None if name is None else read_table(self.spark, f"{self.path}/data/{name}", schema)
+        segments = [(v, table(n, ITEMS)) for v, n in found["segments"]]
+        return found["meta"] | {"segments": segments} | {k: table(found["tables"].get(k), s) for k, s in (("nodes", NODES), ("retired", RETIRED), ("removed", REMOVED))}
 
     def save(self, state: dict) -> None:
-        version = uuid.uuid4().hex
-        for t in TABLES:
-            state[t].write.parquet(f"{self.path}/{version}/{t}")
-        meta = json.dumps({k: v for k, v in state.items() if k not in TABLES})
-        self.spark.createDataFrame([(meta,)], "value string").coalesce(1).write.text(f"{self.path}/{version}/meta")
-        self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.text(f"{self.path}/_NEXT-{version}")
-        self.fs.delete(self._path("_CURRENT"), True)
-        self.fs.rename(self._path(f"_NEXT-{version}"), self._path("_CURRENT"))
+        """A state as other stores take it: items and nodes in whole."""
+        self.commit({k: v for k, v in state.items() if k not in TABLES}, [(state.get("items_version", 0), state["items"])], {"nodes": state["nodes"]})
+
+    def commit(self, meta: dict, segments: list[tuple[int, DataFrame]], tables: dict[str, DataFrame | None]) -> None:
+        def name(t: DataFrame | None, what: str) -> str | None:
+            if t is None:
+                return None
+            at = folder_of(t) or ""
+            return (at if at.startswith(f"{self.path}/data/") else folder_of(self.keep(t, what))).rsplit("/", 1)[1]
+
+        found = {"meta": meta, "segments": [[v, name(t, "items")] for v, t in segments], "tables": {k: name(t, k) for k, t in tables.items()}}
+        numbers = self._numbers()
+        number = max(numbers, default=0) + 1
+        draft, last = self._path(f"manifests/draft-{uuid.uuid4().hex}"), self._path(f"manifests/manifest-{number:012d}.json")
+        out = self.fs.create(draft)
+        out.write(bytearray(json.dumps(found).encode()))
+        out.close()
+        if self.fs.exists(last) or not self.fs.rename(draft, last):
+            raise RuntimeError(f"version {number} of {self.path} was written by another")
+        # what neither this version nor the one before names
+        used = {found["tables"][k] for k in found["tables"]} | {n for _, n in found["segments"]}
+        if numbers:
+            before = self._manifest(max(numbers))
+            used |= set(before["tables"].values()) | {n for _, n in before["segments"]}
+        for n in self._listed("data"):
+            if n not in used:
+                self.fs.delete(self._path(f"data/{n}"), True)
+        for n in numbers:
+            if n < max(numbers):
+                self.fs.delete(self._path(f"manifests/manifest-{n:012d}.json"), False)
 
 
 def _plain(state: dict) -> dict:

@@ -11,14 +11,12 @@ from ..plans.tree import Tree
 def stream_into(tree: Tree, rows: DataFrame, checkpoint: str, *, once: bool = True) -> StreamingQuery:
     """rows(ordinal, content_id, text, metadata, embedding), a streaming DataFrame: each micro-batch is one ingest, written once.
 
-    A batch that is run again after a failure is known by its number and left out.
+    The batch's number is saved in the same commit as the tree it went into, so a batch that is run again, also after a restart with
+    the tree's state, is known and left out.
     """
-    seen: set[int] = set()
 
     def take(batch: DataFrame, number: int) -> None:
-        if number not in seen and not batch.isEmpty():
-            tree.ingest(batch)
-        seen.add(number)
+        tree.ingest(batch, batch=(checkpoint, number))
 
     writer = rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
