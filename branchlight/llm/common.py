@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.shared import dropped, written  # noqa: F401
+
 #: ASCII white space as ``bytes.split()`` takes it, which is ``[\\x20\\x09-\\x0D]``.
 WORD = r"[^\x20\x09-\x0D]+"
 #: A component search goes on in one task when no more links than these are left.
@@ -16,47 +16,6 @@ FINISH_EDGES = 12_000
 HEAVY = 2_048
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Where it is unset, one under /tmp on a single machine, as in tests; an error on a cluster."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return (base or "file:///tmp/checkpoints").rstrip("/")
-
-
-_FOLDERS: dict = {}
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage and outlives executors. The application's tables go when it ends, unless dropped() sooner."""
-    spark = df.sparkSession
-    top = f"{shared_dir(spark)}/branchlight/{spark.sparkContext.applicationId}"
-    if top not in _FOLDERS:
-        _FOLDERS[top] = spark
-        atexit.register(_delete, spark, top)
-    path = f"{top}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._branchlight_folder = path
-    return table
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    try:
-        at = spark._jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the JVM may be gone; what is left is only disk
-        pass
-
-
-def dropped(*tables: DataFrame) -> None:
-    """Deletes written tables that nothing reads any more."""
-    for t in tables:
-        path = getattr(t, "_branchlight_folder", None)
-        if path:
-            _delete(t.sparkSession, path)
-
-
 _KEPT: dict = {}
 
 
