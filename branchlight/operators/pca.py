@@ -59,6 +59,19 @@ class PCAState:
             self.products = products if self.products is None else self.products + products
         return self
 
+    def add_rows(self, x: np.ndarray) -> PCAState:
+        """The rows of an array."""
+        x = np.asarray(x, float)
+        self.n += len(x)
+        self.total = x.sum(0) if self.total is None else self.total + x.sum(0)
+        self.products = x.T @ x if self.products is None else self.products + x.T @ x
+        return self
+
+    def transform(self, x: np.ndarray) -> np.ndarray:
+        if not self.is_fitted:
+            raise RuntimeError("the reducer isn't fitted")
+        return (np.asarray(x, float) - self.mean) @ self.components.T
+
     def solve(self, dims: int) -> PCAState:
         if not self.n:
             raise RuntimeError("no vectors to fit")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import text as tx
 from ..functions.vectors import distance, doubles, normalise, project, rounded
 from ..operators import aggregates as ag, knn, labels as lb
+from ..sources.shared import application_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -493,14 +494,82 @@ def parquet_state_roundtrip(spark, sf_dir):
     from ..sources.states import ParquetState
     from .tree import Tree
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    state = ParquetState(spark, f"{base.rstrip('/')}/branchlight/state-{uuid.uuid4().hex}")
+    state = ParquetState(spark, f"{application_dir(spark)}/state-{uuid.uuid4().hex}")
     Tree(spark, state=state).ingest(content_rows(spark, sf_dir))
     back = Tree(spark, state=state)
     n = F.col("content_id").cast("long")
     return back.items.agg(F.count("*").alias("items"), F.sum(n).cast("double").alias("total"), F.max(n).alias("last"))
 
 
+def tree_nodes(spark, sf_dir, removed: str | None = None):
+    """A tree that takes the table in two batches, and then loses the items that `removed` asks for."""
+    import json
+
+    from ..config import TreeConfig
+    from .tree import Tree
+
+    t = Tree(spark, TreeConfig(leaf_target=40, max_branches=4))
+    rows = content_rows(spark, sf_dir)
+    t.ingest(rows.where("ordinal % 3 <> 0"))
+    t.ingest(rows.where("ordinal % 3 = 0"))
+    if removed:
+        t.remove(*[json.loads(r["content_id"]) for r in rows.where(removed).select("content_id").collect()])
+    return t
+
+
+def sums_of_nodes(t) -> DataFrame:
+    """(pos, vsum, n) of the root, and of the sums of all leaves, which must be the same; over all nodes, counts that aren't their children's."""
+    root = t.nodes.where(F.size("path") == 0).select(F.lit("root").alias("node"), F.posexplode("vsum").alias("pos", "x"), F.col("count").alias("n"))
+    leaves = t.nodes.where("is_leaf").select(F.lit("leaves").alias("node"), F.posexplode("vsum").alias("pos", "x"), F.col("count").alias("n"))
+    return root.unionByName(leaves).groupBy("node", "pos").agg(rounded(F.sum("x")).alias("vsum"), F.sum("n").alias("n")).select("node", "pos", "vsum", "n")
+
+
+@query(f"WITH {L} SELECT node, pos::INT AS pos, round(sum(x), 6) + 0.0 AS vsum, count(*)::BIGINT AS n FROM N, (SELECT unnest(['root', 'leaves']) AS node) GROUP BY node, pos")
+def tree_ingest_sums(spark, sf_dir):
+    """T1, T4-T6, G8 by the tree itself: two batches, with splits; the root's and the leaves' sums."""
+    return sums_of_nodes(tree_nodes(spark, sf_dir))
+
+
+@query(f"WITH {L} SELECT node, pos::INT AS pos, round(sum(x), 6) + 0.0 AS vsum, count(*)::BIGINT AS n FROM N, (SELECT unnest(['root', 'leaves']) AS node) WHERE vec_id % 7 <> 0 AND label NOT IN (3, 4) GROUP BY node, pos")
+def tree_remove_sums(spark, sf_dir):
+    """T10-T12 by the tree itself: every seventh vector and two labels go; no empty node stays."""
+    t = tree_nodes(spark, sf_dir, "ordinal % 7 = 0 or cast(ordinal as long) in (select vec_id from parquet.`" + f"{sf_dir}/embeddings.parquet" + "` where label in (3, 4))")
+    return sums_of_nodes(t)
+
+
+@query(f"WITH {L}, {KNN.format(where='WHERE q.vec_id % 100 = 0')} SELECT query_id, rank::INT AS rank, content_id::VARCHAR AS content_id, round(d, 6) + 0.0 AS distance FROM R WHERE rank <= 4")
+def tree_exact_query(spark, sf_dir):
+    """N1 by the tree itself, over two segments."""
+    t = tree_nodes(spark, sf_dir)
+    asked = content_rows(spark, sf_dir, "vec_id % 100 = 0").select(F.col("ordinal").alias("query_id"), "embedding")
+    found = t.query(asked, 6, exhaustive=True)
+    # ties by id are by the text of an id there, by number in the other
+    order = Window.partitionBy("query_id").orderBy("distance", F.col("content_id").cast("long"))
+    return found.select("query_id", F.row_number().over(order).alias("rank"), "content_id", rounded(F.col("distance")).alias("distance")).where("rank <= 4")
+
+
+@query(f"WITH {L}, {KNN.format(where='WHERE q.vec_id % 100 = 0')} SELECT query_id, rank::INT AS rank, content_id::VARCHAR AS content_id, round(d, 6) + 0.0 AS distance FROM R WHERE rank <= 3")
+def tree_warmup_query(spark, sf_dir):
+    """N3 by the tree itself: its reducer waits for more items than there are."""
+    from ..config import TreeConfig
+    from .tree import Tree
+
+    t = Tree(spark, TreeConfig(pca_dims=8, pca_warmup=10_000_000))
+    t.ingest(content_rows(spark, sf_dir))
+    found = t.query(content_rows(spark, sf_dir, "vec_id % 100 = 0").select(F.col("ordinal").alias("query_id"), "embedding"), 5)
+    order = Window.partitionBy("query_id").orderBy("distance", F.col("content_id").cast("long"))
+    return found.select("query_id", F.row_number().over(order).alias("rank"), "content_id", rounded(F.col("distance")).alias("distance")).where("rank <= 3")
+
+
+@query("SELECT doc_id::VARCHAR AS content_id, md5(text) AS text_md5, lang FROM documents WHERE lang = 'de' AND n_chars > 500")
+def content_from_table(spark, sf_dir):
+    """S6 by content_from(): predicate and columns reach the scan."""
+    from ..sources.states import content_from
+
+    rows = content_from(table(spark, sf_dir, "documents"), "doc_id", "text", ["lang"], "lang = 'de' and n_chars > 500")
+    return rows.select("content_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), F.get_json_object("metadata", "$.lang").alias("lang"))
+
+
 @query("SELECT count(*) AS items, max(vec_id) + 1 AS next_seq, count(*) AS in_root FROM embeddings")
 def stream_ingest_counts(spark, sf_dir):
     """The table as a stream, ingested by micro-batches."""
@@ -510,8 +579,7 @@ def stream_ingest_counts(spark, sf_dir):
     from ..streaming.ingest import stream_into
     from .tree import Tree
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    at = f"{base.rstrip('/')}/branchlight/stream-{uuid.uuid4().hex}"
+    at = f"{application_dir(spark)}/stream-{uuid.uuid4().hex}"
     content_rows(spark, sf_dir).repartition(3, "ordinal").write.parquet(f"{at}/in")
     tree = Tree(spark, TreeConfig(leaf_target=40))
     rows = spark.readStream.schema(content_rows(spark, sf_dir).schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")

@@ -15,7 +15,11 @@ from collections.abc import Callable, Sequence
 from pathlib import Path
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from ..operators.numbers import numbered_in
+from .shared import written
 
 CONTENT = "content_id string, text string, metadata string, path array<int>"
 BRANCH = "node_id string, parent_id string, ordinal int, depth int, path array<int>, label string, metadata string"
@@ -27,9 +31,33 @@ class MissingNodeFileError(FileNotFoundError):
 
 
 def deduped(rows: DataFrame, parent: list[str], name: str, order: list[str], out: str) -> DataFrame:
-    """K6h: equal names under one parent get -2, -3 and so on, in the given order."""
-    turn = F.row_number().over(Window.partitionBy(*parent, name).orderBy(*order))
-    return rows.withColumn("__r", turn).withColumn(out, F.when(F.col("__r") == 1, F.col(name)).otherwise(F.concat(name, F.lit("-"), F.col("__r")))).drop("__r")
+    """K6h: equal names under one parent get -2, -3 and so on, in the given order, passing over names that are taken by then.
+
+    Counting is enough unless a numbered name is another's own; such names, without their numbers, are few, and each is gone through in order in a task of its own.
+    """
+    counted = numbered_in(rows, [*parent, name], order, "__r").withColumn(out, F.when(F.col("__r") == 1, F.col(name)).otherwise(F.concat(name, F.lit("-"), F.col("__r")))).drop("__r")
+    counted = counted.withColumn("__stem", F.regexp_replace(name, "(-[0-9]+)+$", ""))
+    keys = [*parent, "__stem"]
+    odd = written(counted.groupBy(*keys, out).agg(F.count("*").alias("n")).where("n > 1").select(*keys).distinct(), "odd-names")
+    if odd.isEmpty():
+        return counted.drop("__stem")
+    same = lambda how: counted.alias("c").join(odd.alias("o"), [F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys], how)
+
+    def again(table: pd.DataFrame) -> pd.DataFrame:
+        table, used, names = table.sort_values(order, ignore_index=True), {None}, []
+        turns: dict = {}
+        for n in table[name]:
+            new, turn = n, turns.get(n, 1)
+            while new in used and n is not None:
+                turn += 1
+                new = f"{n}-{turn}"
+            turns[n] = turn
+            used.add(new)
+            names.append(new)
+        table[out] = names
+        return table
+
+    return same("left_anti").unionByName(same("left_semi").groupBy(*keys).applyInPandas(again, counted.schema)).drop("__stem")
 
 
 def plan_actions(nodes: DataFrame, files: DataFrame) -> DataFrame:
@@ -47,7 +75,8 @@ def read_folder(spark: SparkSession, root: str, *, include_suffixes: Sequence[st
     """(content, branches) of a folder, None if it isn't there.
 
     The folder is listed on the driver, since Spark's listing drops names that begin with _ or a dot and empty folders; files are read on the
-    executors, so the folder must be on storage that all of them see. Files that don't decode are left out. Ids are MD5 sums of the bytes.
+    executors, so the folder must be mounted under the same path on all of them, as a network file system is. Texts in a store that only Spark reads come by
+    spark.read and content_from(). Files that don't decode are left out. Ids are MD5 sums of the bytes.
     """
     if callable(additional_metadata_derivers):
         raise TypeError("additional_metadata_derivers must be a sequence of functions")

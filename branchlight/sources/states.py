@@ -7,13 +7,41 @@ import os
 import sqlite3
 import uuid
 from pathlib import Path
-from typing import Any
+from typing import Any, Protocol, runtime_checkable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..plans.tree import ITEMS, NODES, REMOVED, RETIRED, Branch, tree_from_dict, tree_to_dict
 from .shared import folder_of, read_table, write_table
 
+@runtime_checkable
+class TreeLoader(Protocol):
+    """Something that a tree, or its state, comes from; None if there is none yet."""
+
+    def load(self) -> Branch | dict | None: ...
+
+
+@runtime_checkable
+class TreePersister(Protocol):
+    """K1: something that a tree, or its state, goes to."""
+
+    def save(self, state: Any) -> None: ...
+
+
+@runtime_checkable
+class TreeReconciler(Protocol):
+    """Makes the tree to go on with from the one that holds and, if there is one, what can be used again."""
+
+    def reconcile(self, ground_truth: TreeLoader, reusable: TreeLoader | None = None, *, embedder: Any = None, config: Any = None) -> Any: ...
+
+
+class DefaultTreeReconciler:
+    """What holds, as it is."""
+
+    def reconcile(self, ground_truth: TreeLoader, reusable: TreeLoader | None = None, *, embedder: Any = None, config: Any = None) -> Any:
+        return ground_truth.load()
+
+
 TABLES = {"items": ITEMS, "nodes": NODES}
 
 
