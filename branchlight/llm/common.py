@@ -20,9 +20,11 @@ _KEPT: dict = {}
 
 
 def kept(key, make):
-    """make() once for each key and Python worker, since Spark goes on using its workers from task to task."""
+    """make() once for each key and Python worker, since Spark goes on using its workers from task to task. What another operator kept there goes, so that a
+    worker that serves one operator after another doesn't fill with all of their tables."""
     if key not in _KEPT:
-        for old in [k for k in _KEPT if k[0] == key[0]]:
+        kind = key[0].split()[0]
+        for old in [k for k in _KEPT if k[0].split()[0] != kind or k[0] == key[0]]:
             del _KEPT[old]
         _KEPT[key] = make()
     return _KEPT[key]
