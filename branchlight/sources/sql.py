@@ -181,7 +181,7 @@ class SQLContents:
 
 def contents_to_jdbc(content: DataFrame, url: str, table: str, properties: dict[str, str] | None = None) -> None:
     """K5 in bulk: content(content_id, text, metadata) into a table, which keeps its definition if it is there."""
-    content.select(F.col("content_id").alias("id"), "text", "metadata").write.mode("overwrite").option("truncate", "true").jdbc(url, quoted(table), properties=properties or {})
+    content.select(F.col("content_id").alias("id"), "text", "metadata").write.mode("overwrite").option("truncate", "true").option("createTableColumnTypes", "id VARCHAR(255)").jdbc(url, quoted(table), properties=properties or {})
 
 
 def read_content(spark: SparkSession, address: str, table: str, *, id_column: str = "id", text_column: str = "text", metadata_columns: list[str] | None = None, where: str | None = None, properties: dict[str, str] | None = None, parts: int = 8) -> DataFrame:
