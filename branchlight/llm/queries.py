@@ -95,7 +95,7 @@ X AS (SELECT doc_id, unnest(range(1, n + 1)) AS pos, unnest(ws) AS w FROM P),
 K AS (SELECT doc_id, string_agg(w, ' ' ORDER BY pos) AS kept, count(*) AS n_kept FROM X ANTI JOIN C USING (doc_id, pos) GROUP BY doc_id)
 SELECT P.doc_id, n::BIGINT AS n_words, (n - coalesce(n_kept, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM P LEFT JOIN K ON P.doc_id = K.doc_id"""
 #: The contract in SQL: all pairs inside a label, and what they reach.
-OP7_SQL = """WITH RECURSIVE V AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+OP7_SQL = """WITH RECURSIVE V AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0),
 P AS (SELECT a.vec_id AS a, b.vec_id AS b FROM V a JOIN V b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
 R AS (SELECT DISTINCT a AS id, a AS hop FROM P UNION SELECT R.id, P.b FROM R JOIN P ON R.hop = P.a),
 M AS (SELECT id, min(hop) AS c FROM R GROUP BY id), N AS (SELECT a, count(*) AS n FROM P GROUP BY a)
