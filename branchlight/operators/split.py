@@ -6,8 +6,10 @@ groups from sums over all executors, so a group's size decides only where the su
 
 from __future__ import annotations
 
+import base64
 import json
 import logging
+import tempfile
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
@@ -26,6 +28,8 @@ LOCAL_MAX = 20_000
 GROUPS = 256
 #: Rows of a large group from which its first centres are drawn, by a hash. All rows take part in what follows.
 SEED_ROWS = 2_000
+#: Rows of a large group up to which one task goes through its rounds of k-means, rows of larger ones for each of the tasks that share them, and rows of a step.
+ALONE, DEALT, BLOCK = 2_000_000, 200_000, 4_096
 
 
 def coherence_threshold(depth: Column, least: float, decay: float) -> Column:
@@ -275,20 +279,7 @@ def _large(rows: DataFrame, groups: list[tuple[list[int], int]], base: int, conf
         for k in ks[g]:
             labels = kmeans(x, k, seed, rounds, tol)
             centers[g, k] = np.array([x[labels == c].mean(0) for c in sorted(set(labels.tolist()))])
-    todo = dict(centers)
-    for _ in range(rounds):
-        if not todo:
-            break
-        sums = _assigned(narrow, todo)
-        done = []
-        for key, c in todo.items():
-            n, total = sums[key]
-            moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
-            if ((moved - c) ** 2).sum() <= tol * float(c.var(0).mean() + 1e-12):
-                done.append(key)
-            centers[key] = todo[key] = moved
-        for key in done:
-            del todo[key]
+    centers = _settled(narrow, centers, dict(enumerate(n for _, n in groups)), rounds, tol)
     # the buckets as the centres have them, then distances to the buckets' own means
     stats = _measured(narrow, centers, len(groups))
     orders, ends = {}, {}
@@ -384,23 +375,159 @@ def _summed(parts: DataFrame) -> list:
     return parts.mapInArrow(add, PARTIAL).repartition("g", "k", "bucket").mapInArrow(add, PARTIAL).collect()
 
 
-def _assigned(narrow: DataFrame, centers: dict) -> dict:
-    """(group, k) -> counts and sums of the rows closest to each centre."""
-
-    def of(g, x, seq):
-        for (own, k), c in centers.items():
-            if own == g:
-                label = _closest(x, c)
-                for j in np.unique(label).tolist():
-                    yield g, k, j, int((label == j).sum()), int(seq[label == j].min()), 0.0, x[label == j].sum(0).tolist()
+def _settled(narrow: DataFrame, centers: dict, sizes: dict[int, int], rounds: int, tol: float, alone: int = ALONE) -> dict:
+    """(group, k) -> its centres after Lloyd's rounds over all rows of the group. All rounds are one job, not one job each.
 
-    out = {key: (np.zeros(len(c)), np.zeros_like(c)) for key, c in centers.items()}
-    for r in _summed(_partials(narrow, of, PARTIAL)):
-        n, total = out[r["g"], r["k"]]
-        n[r["bucket"]], total[r["bucket"]] = r["n"], r["total"]
+    A group of up to `alone` rows stays in one task. Larger ones are dealt to tasks that run at the same time and pass each other their sums after each
+    round (a barrier stage, whose rounds take a second each). Rows wait for the next round in a file without a name; in memory are 20 bytes a row and k.
+    """
+    slots = _slots(narrow.sparkSession)
+    wide = [g for g, n in sizes.items() if n > alone and slots > 1 and any(own == g for own, _ in centers)]
+    small = {key: c for key, c in centers.items() if key[0] not in wide}
+    large = {key: c for key, c in centers.items() if key[0] in wide}
+    out = dict(centers)
+    parts = []
+    if small:
+        mine = narrow.where(F.col("g").isin(sorted({g for g, _ in small}))).repartition("g").sortWithinPartitions("g", "seq")
+        parts.append(mine.mapInArrow(_settling(small, rounds, tol, False), SETTLED))
+    if large:
+        tasks = min(slots, -(-sum(sizes[g] for g in wide) // DEALT))
+        dealt = narrow.where(F.col("g").isin(wide)).repartition(tasks, "seq").sortWithinPartitions("g", "seq")
+        parts.append(dealt.mapInArrow(_settling(large, rounds, tol, True), SETTLED, barrier=True))
+    for part in parts:
+        for r in part.collect():
+            out[r["g"], r["k"]] = np.array(r["centers"], float).reshape(r["k_found"], -1)
     return out
 
 
+SETTLED = "g int, k int, k_found int, centers array<double>"
+
+
+def _slots(spark) -> int:
+    """Tasks that run at the same time; 1 where that number changes, and a barrier stage isn't allowed."""
+    if spark.conf.get("spark.dynamicAllocation.enabled", "false").lower() == "true":
+        return 1
+    context = spark.sparkContext._jsc.sc()
+    return max(1, context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile()))
+
+
+def _settling(centers: dict, rounds: int, tol: float, shared: bool) -> Callable:
+    """Rows (g, seq, vector) in order of g -> the settled centres; shared: other tasks have rows of the same groups."""
+
+    def settle(x: np.ndarray | None, runs: list[tuple[int, int, int]], todo: dict) -> dict:
+        settled = dict(todo)
+        held = {key: _Rows(x[start:end]) for g, start, end in runs for key in todo if key[0] == g}
+        for _ in range(rounds):
+            if not todo:
+                break
+            sums = together({key: held[key].sums(c) if key in held else (np.zeros(len(c)), np.zeros_like(c)) for key, c in todo.items()})
+            for key, c in list(todo.items()):
+                n, total = sums[key]
+                moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+                settled[key] = todo[key] = moved
+                if ((moved - c) ** 2).sum() <= tol * float(c.var(0).mean() + 1e-12):
+                    del todo[key]
+                    held.pop(key, None)
+        return settled
+
+    def together(sums: dict) -> dict:
+        if not shared:
+            return sums
+        from pyspark import BarrierTaskContext
+
+        # every task adds up the same parts in the same order, so that all go on with the same centres
+        said = base64.b64encode(np.concatenate([np.column_stack(sums[key]).ravel() for key in sums]).tobytes()).decode()
+        flat = sum(np.frombuffer(base64.b64decode(t)) for t in BarrierTaskContext.get().allGather(said))
+        out, at = {}, 0
+        for key, (n, total) in sums.items():
+            both = flat[at : at + len(n) * (1 + total.shape[1])].reshape(len(n), -1)
+            out[key], at = (both[:, 0], both[:, 1:]), at + both.size
+        return out
+
+    def run(batches):
+        import pyarrow as pa
+
+        def rows(found: dict):
+            keys = sorted(found)
+            cols = [[g for g, _ in keys], [k for _, k in keys], [len(found[key]) for key in keys]]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int32()) for c in cols), pa.array([found[key].ravel().tolist() for key in keys], pa.list_(pa.float64()))], ["g", "k", "k_found", "centers"])
+
+        def stored(file, n: int):
+            file.flush()
+            return np.memmap(file, float, "r", shape=(n, len(next(iter(centers.values()))[0]))) if n else None
+
+        file, runs, n = tempfile.TemporaryFile(), [], 0
+        for b in batches:
+            g = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                if to == at:
+                    continue
+                if runs and runs[-1][0] != g[at]:
+                    if not shared:  # this group is whole
+                        yield rows(settle(stored(file, n), runs, {key: c for key, c in centers.items() if key[0] == runs[-1][0]}))
+                        file.close()
+                        file, runs, n = tempfile.TemporaryFile(), [], 0
+                if not runs or runs[-1][0] != g[at]:
+                    runs.append((int(g[at]), n, n))
+                file.write(b.column(2).slice(at, to - at).flatten().to_numpy(zero_copy_only=False).astype(float).tobytes())
+                n += to - at
+                runs[-1] = (runs[-1][0], runs[-1][1], n)
+        if shared:
+            found = settle(stored(file, n), runs, dict(centers))
+            from pyspark import BarrierTaskContext
+
+            if BarrierTaskContext.get().partitionId() == 0:
+                yield rows(found)
+        elif runs:
+            yield rows(settle(stored(file, n), runs, {key: c for key, c in centers.items() if key[0] == runs[-1][0]}))
+        file.close()
+
+    return run
+
+
+class _Rows:
+    """The rows of a group in a task, and what is known of them from the round before: by how far a row's own centre and the next one can have moved, most
+    rows keep their centre without being measured again (Hamerly), and only those that change it change the sums."""
+
+    def __init__(self, x: np.ndarray):
+        self.x, self.centers = x, None
+
+    def sums(self, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts and sums of the rows closest to each of c."""
+        if self.centers is None:
+            self.label, self.own, self.next = np.full(len(self.x), -1, np.int32), np.zeros(len(self.x)), np.zeros(len(self.x))
+            self.n, self.total, self.slack = np.zeros(len(c)), np.zeros_like(c), 0.0
+            look = np.arange(len(self.x))
+        else:
+            moved = np.sqrt(((c - self.centers) ** 2).sum(1))
+            self.own += moved[self.label]
+            self.next -= moved.max()
+            look = np.flatnonzero(self.own + self.slack >= self.next)
+        self.centers = c
+        length = (c * c).sum(1)
+        for at in range(0, len(look), BLOCK):
+            rows = look[at : at + BLOCK]
+            part = self.x[rows]
+            size = (part * part).sum(1)
+            self.slack = max(self.slack, 1e-6 * float(np.sqrt(size.max())))
+            far = size[:, None] - 2 * part @ c.T + length
+            new, old = far.argmin(1), self.label[rows]
+            far = np.sqrt(np.maximum(far, 0))
+            self.own[rows] = far[np.arange(len(rows)), new]
+            far[np.arange(len(rows)), new] = np.inf
+            self.next[rows] = far.min(1)
+            self.label[rows] = new
+            other = np.flatnonzero(new != old)
+            change = np.zeros((len(other), len(c)))
+            change[np.arange(len(other)), new[other]] = 1
+            left = np.flatnonzero(old[other] >= 0)
+            change[left, old[other][left]] -= 1
+            self.n += change.sum(0)
+            self.total += change.T @ part[other]
+        return self.n.copy(), self.total.copy()
+
+
 def _measured(narrow: DataFrame, centers: dict, groups: int) -> dict:
     """(group, k) -> the buckets with n, first seq, mean and mean distance to it; k 0 is the whole group."""
     zero = {(g, 0): np.zeros((1, 1)) for g in range(groups)}

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from ..functions import text as tx
 from ..functions.vectors import distance, doubles, normalise, project, rounded
 from ..operators import aggregates as ag, knn, labels as lb
-from ..sources.shared import application_dir
+from ..sources.shared import application_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -471,8 +471,8 @@ def grown(spark, sf_dir, **settings) -> DataFrame:
     from ..config import TreeConfig
     from ..operators.split import divisive
 
-    rows = vectors(spark, sf_dir).select(F.col("content_id").alias("seq"), "vector")
-    leaves = divisive(rows, TreeConfig.of(**settings)).groupBy("path").agg(F.count("*").alias("n"), F.max("unsplittable").alias("unsplittable"))
+    rows = written(vectors(spark, sf_dir).select(F.col("content_id").alias("seq"), "vector"), "grown")
+    leaves = divisive(rows, TreeConfig.of(**settings), keep=lambda t: written(t, "level")).groupBy("path").agg(F.count("*").alias("n"), F.max("unsplittable").alias("unsplittable"))
     return leaves.groupBy(F.size("path").alias("depth"), "n", "unsplittable").agg(F.count("*").alias("leaves"))
 
 

@@ -169,11 +169,15 @@ class Tree:
         if batch is not None:
             self.batches[batch[0]] = batch[1]
         rows = fresh.withColumns({"vector": F.col("raw"), "path": F.lit(None).cast("array<int>"), "unsplittable": F.lit(False)})
-        if self.pca is not None and not self.pca.is_fitted:
+        every = self.config.rebalance.every_n_inserts
+        due = bool(self.config.rebalance.enabled and every and self.inserts + n >= every)
+        warm = self.pca is not None and not self.pca.is_fitted
+        if warm or due:  # the rebalance that is due builds the whole tree from these rows, so that they aren't led to leaves before
             self.segments.append((self.version, self._kept(rows, "items")))
-            if self.size >= self.config.pca_warmup:
+            if warm and self.size >= self.config.pca_warmup:
                 self._fit(self.items)
-                self._rebuild()
+                if not due:
+                    self._rebuild()
         else:
             self._insert(self._projected(rows), first)
             if self.pca is not None and self.config.pca_mode == "incremental":
@@ -182,8 +186,7 @@ class Tree:
                     self._advance(pending)
         dropped(numbered, fresh)
         self.inserts += n
-        every = self.config.rebalance.every_n_inserts
-        if self.config.rebalance.enabled and every and self.inserts >= every and (self.pca is None or self.pca.is_fitted):
+        if due and (self.pca is None or self.pca.is_fitted):
             self.rebalance()
         else:
             self._together()

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from branchlight.config import TreeConfig
-from branchlight.operators.split import decide, dispersion, divisive, grow, kmeans, split_decisions
+from branchlight.operators.split import _closest, _settled, decide, dispersion, divisive, grow, kmeans, split_decisions
 
 
 def topics(n=10, jitter=0.01, seed=0):
@@ -93,3 +93,39 @@ def test_rejections_are_told_apart_and_lines_are_formatted():
     grow(x, 0, TreeConfig(split_mode="adaptive", leaf_target=4, min_cluster_size=2, min_parent_dispersion=0.01, log_split_decisions=True, max_branches=2), said=said)
     assert said[0]["reason"] == "small_cluster" and said[0]["line"] == "split.adaptive.reject n=13 depth=0 reason=small_cluster k=2 sizes=[12,1]"
     assert said[-1]["reason"] == "no_valid_split" and said[-1]["event"] == "split.adaptive.skip"
+
+
+def lloyd(x, c, rounds, tol=1e-4):
+    for _ in range(rounds):
+        label = _closest(x, c)
+        moved = np.array([x[label == j].mean(0) if (label == j).any() else c[j] for j in range(len(c))])
+        done, c = ((moved - c) ** 2).sum() <= tol * float(c.var(0).mean() + 1e-12), moved
+        if done:
+            break
+    return c
+
+
+@pytest.mark.parametrize(("rounds", "alone"), [(300, 10_000), (3, 100)])
+def test_rounds_in_one_job_are_lloyds(spark, rounds, alone):
+    """In one task a group, and shared by tasks that pass each other their sums; a centre without rows stays."""
+    x = np.random.default_rng(5).standard_normal((2_000, 6))
+    rows = spark.createDataFrame([(i % 2, i, v.tolist()) for i, v in enumerate(x)], "g int, seq long, vector array<double>")
+    centers = {(g, k): np.concatenate([x[g::2][: k - 1], np.full((1, 6), 90.0)]) for g in (0, 1) for k in (2, 5)}
+    got = _settled(rows, centers, {0: 1_000, 1: 1_000}, rounds, 1e-4, alone)
+    assert set(got) == set(centers)
+    for (g, k), c in centers.items():
+        assert np.allclose(got[g, k], lloyd(x[g::2], c, rounds), atol=1e-9)
+
+
+@pytest.mark.parametrize("mode", ["fixed", "adaptive"])
+def test_large_groups_take_few_jobs(spark, mode):
+    """As many jobs a level whatever number of rounds k-means needs."""
+    x = np.random.default_rng(6).standard_normal((1_500, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "seq long, vector array<double>")
+    spark.sparkContext.setJobGroup(f"few-{mode}", "")
+    try:
+        placed = divisive(rows, TreeConfig.of(split_mode=mode, max_branches=3, min_split_gain=0.0, model_args={"tol": 0.0, "max_iter": 60}), 1_000)
+        assert placed.count() == 1_500
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"few-{mode}")) < 60
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
