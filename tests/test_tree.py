@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from branchlight.config import TreeConfig
+from branchlight.config import RebalanceConfig, TreeConfig
 from branchlight.plans.tree import Branch, Content, Tree, tree_from_dict, tree_to_dict
 from branchlight.sources.states import JsonState, ParquetState, SQLiteState
 
@@ -308,3 +308,22 @@ def test_decisions_of_a_tree(spark, caplog):
     rows = t.decisions.collect()
     assert any(r["event"] == "split.fixed.accept" and r["n"] == 30 and list(r["path"]) == [] for r in rows)
     assert any(m.startswith("split.fixed.accept n=30 depth=0 k=3 sizes=[") for m in caplog.messages) and len(caplog.messages) == len(rows)
+
+
+def test_a_batch_whose_rebalance_is_due_is_built_once(spark, monkeypatch):
+    """It isn't led to leaves before the whole tree is built anew, and the tree is the one that a rebalance gives."""
+    x = np.random.default_rng(8).standard_normal((60, 5))
+    rows = spark.createDataFrame([(i, str(i), f"t{i}", "{}", v.tolist()) for i, v in enumerate(x)], "ordinal long, content_id string, text string, metadata string, embedding array<double>")
+    parts = [rows.where("ordinal < 35"), rows.where("ordinal >= 35")]
+    want = Tree(spark, TreeConfig(rebalance=RebalanceConfig(every_n_inserts=None)))
+    for p in parts:
+        want.ingest(p)
+    want.rebalance()
+    monkeypatch.setattr(Tree, "_insert", lambda *a: pytest.fail("led to leaves"))
+    got = Tree(spark, TreeConfig(rebalance=RebalanceConfig(every_n_inserts=20)))
+    for p in parts:
+        got.ingest(p)
+    where = lambda t: sorted((r["seq"], tuple(r["path"])) for r in t.items.collect())
+    assert where(got) == where(want) and len(got) == 60 and got.inserts == 0
+    counts = lambda t: sorted((tuple(r["path"]), r["count"], r["is_leaf"]) for r in t.nodes.collect())
+    assert counts(got) == counts(want)
