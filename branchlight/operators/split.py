@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from typing import Protocol, runtime_checkable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import TreeConfig
@@ -47,10 +47,25 @@ def lloyd(items: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
     return found
 
 
+def distinct_rows(x: np.ndarray, most: int) -> int:
+    """The number of distinct rows, or `most` if there are at least so many; as a rule the first rows tell."""
+    seen: list[np.ndarray] = []
+    for at in range(0, len(x), 256):
+        part = np.asarray(x[at : at + 256])
+        for one in seen:
+            part = part[(part != one).any(1)]
+        while len(part):
+            seen.append(part[0])
+            if len(seen) >= most:
+                return most
+            part = part[(part != part[0]).any(1)]
+    return len(seen)
+
+
 def kmeans(x: np.ndarray, k: int, seed: int = 0, max_iter: int = 300, tol: float = 1e-4) -> np.ndarray:
     """Labels by seeded k-means++ and Lloyd's iterations; at most as many clusters as distinct rows. Empty clusters take the farthest row."""
     rng = np.random.default_rng(seed)
-    k = min(k, len(np.unique(x, axis=0)))
+    k = distinct_rows(x, k)
     if k < 2:
         return np.zeros(len(x), int)
     centers = x[[int(rng.integers(len(x)))]]
@@ -61,13 +76,14 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, max_iter: int = 300, tol: float
         best = int(np.argmin([c.sum() for c in cost]))
         near, centers = cost[best], np.vstack([centers, x[tries[best]]])
     limit = tol * float(x.var(0).mean())
-    labels = None
+    labels, size = None, (x * x).sum(1)[:, None]
     for _ in range(max_iter):
-        d = (x * x).sum(1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(1)[None, :]
+        d = size - 2 * x @ centers.T + (centers * centers).sum(1)[None, :]
         new = d.argmin(1)
-        for c in range(k):
-            if not (new == c).any():
-                new[int(d[np.arange(len(x)), new].argmax())] = c
+        if not np.bincount(new, minlength=k).all():
+            for c in range(k):
+                if not (new == c).any():
+                    new[int(d[np.arange(len(x)), new].argmax())] = c
         moved = np.array([x[new == c].mean(0) if (new == c).any() else centers[c] for c in range(k)])
         shift = float(((moved - centers) ** 2).sum())
         done = labels is not None and (new == labels).all() or shift <= limit
@@ -154,7 +170,7 @@ def decide(x: np.ndarray, depth: int, config: TreeConfig) -> list[Decision]:
         parts = buckets(x, k, config)
         return Bucketing([len(p) for p in parts], [dispersion(x[p]) for p in parts], np.array([x[p].mean(0) for p in parts]), parts)
 
-    return judge(len(x), depth, config, lambda: dispersion(x), lambda: len(np.unique(x, axis=0)), cut)
+    return judge(len(x), depth, config, lambda: dispersion(x), lambda: distinct_rows(x, config.max_branches), cut)
 
 
 @runtime_checkable
@@ -249,15 +265,22 @@ def _finished(rows: DataFrame, config: TreeConfig, strategy: SplitStrategy | Non
     """Each group's whole subtree. Only seq and vector go to Python; the rest is joined back by seq."""
     schema = "seq long, path array<int>, unsplittable boolean, decisions array<string>"
 
-    def run(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("seq", ignore_index=True)
-        at, said = [int(v) for v in table["__at"].iloc[0]], []
-        leaves = grow(np.array(table["vector"].tolist(), float), len(at), config, strategy, said)
-        out = pd.concat([pd.DataFrame({"seq": table["seq"].to_numpy()[r], "path": [[*at, *p]] * len(r), "unsplittable": u}) for p, u, r in leaves], ignore_index=True)
-        out["decisions"] = [[json.dumps({**d, "path": [*at, *d["path"]]}) for d in said] if said and k == 0 else None for k in range(len(out))]
-        return out
-
-    placed = rows.select("seq", "vector", "__at").groupBy("__at").applyInPandas(run, schema)
+    def run(table):
+        seq, x = table.column("seq").to_numpy(), np.array(table.column("vector").combine_chunks().flatten(), float).reshape(table.num_rows, -1)
+        order = np.argsort(seq, kind="stable")
+        seq, at, said = seq[order], table.column("__at")[0].as_py(), []
+        leaves = grow(x[order], len(at), config, strategy, said)
+        leaf = pa.array(np.repeat(np.arange(len(leaves)), [len(r) for _, _, r in leaves]))
+        told = [json.dumps({**d, "path": [*at, *d["path"]]}) for d in said] or None
+        cols = [
+            pa.array(seq[np.concatenate([r for _, _, r in leaves])], pa.int64()),
+            pa.array([[*at, *p] for p, _, _ in leaves], pa.list_(pa.int32())).take(leaf),
+            pa.array([u for _, u, _ in leaves], pa.bool_()).take(leaf),
+            pa.array([told, *[None] * (len(seq) - 1)], pa.list_(pa.string())),
+        ]
+        return pa.table(cols, ["seq", "path", "unsplittable", "decisions"])
+
+    placed = rows.select("seq", "vector", "__at").groupBy("__at").applyInArrow(run, schema)
     return rows.drop("__at").join(placed, "seq")
 
 
@@ -265,23 +288,33 @@ def _large(rows: DataFrame, groups: list[tuple[list[int], int]], base: int, conf
     """One level of large groups: rows(seq, vector, __at, __group, ...) with path, __end, unsplittable."""
     spark = rows.sparkSession
     narrow = rows.select((F.col("__group") - base).alias("g"), "seq", "vector")
-    firsts = {r["g"]: r["seqs"] for r in _seeds(narrow, groups)}
-    args = config.model_args
-    seed, rounds, tol = int(args.get("random_state") or 0), int(args.get("max_iter", 300)), float(args.get("tol", 1e-4))
-    known = {r["g"]: r["d"] for r in narrow.groupBy("g").agg(F.count_distinct(F.xxhash64("vector"), F.xxhash64(F.lit(1), "vector")).alias("d")).collect()}
-    ks = {}
-    for g, (_, n) in enumerate(groups):
-        most = min(config.max_branches, known[g]) if config.split_mode == "fixed" else min(config.max_branches, n // config.min_cluster_size, known[g])
-        ks[g] = [most] if config.split_mode == "fixed" and most > 1 else list(range(2, most + 1)) if config.split_mode != "fixed" else []
-    # as many buckets as centres, from k-means on the first rows
-    centers: dict[tuple[int, int], np.ndarray] = {}
-    for g, x in firsts.items():
-        for k in ks[g]:
-            labels = kmeans(x, k, seed, rounds, tol)
-            centers[g, k] = np.array([x[labels == c].mean(0) for c in sorted(set(labels.tolist()))])
-    centers = _settled(narrow, centers, dict(enumerate(n for _, n in groups)), rounds, tol)
-    # the buckets as the centres have them, then distances to the buckets' own means
-    stats = _measured(narrow, centers, len(groups))
+    known, centers, stats = {}, {}, {}
+    slots = _slots(spark)
+    wide = [g for g, (_, n) in enumerate(groups) if n > ALONE and slots > 1]
+    alone = [g for g in range(len(groups)) if g not in wide]
+    if alone:
+        for r in _whole(narrow.where(F.col("g").isin(alone)) if wide else narrow, groups, config):
+            if r["k"]:
+                centers[r["g"], r["k"]] = np.array(r["centers"], float).reshape(r["k_found"], -1)
+            else:
+                known[r["g"]] = r["k_found"]
+            means = np.array(r["means"], float).reshape(len(r["n"]), -1)
+            stats[r["g"], r["k"]] = [{"bucket": b, "n": n, "first": first, "mean": mean, "dispersion": d} for b, (n, first, mean, d) in enumerate(zip(r["n"], r["first"], means, r["d"], strict=True)) if n]
+    if wide:
+        args = config.model_args
+        seed, rounds, tol = int(args.get("random_state") or 0), int(args.get("max_iter", 300)), float(args.get("tol", 1e-4))
+        rest = narrow.where(F.col("g").isin(wide)) if alone else narrow
+        known |= {r["g"]: r["d"] for r in rest.groupBy("g").agg(F.count_distinct(F.xxhash64("vector"), F.xxhash64(F.lit(1), "vector")).alias("d")).collect()}
+        # as many buckets as centres, from k-means on the first rows
+        own: dict[tuple[int, int], np.ndarray] = {}
+        for r in _seeds(rest, groups):
+            for k in _wanted(groups[r["g"]][1], known[r["g"]], config):
+                own[r["g"], k] = _seeded(r["seqs"], k, seed, rounds, tol)
+        own = _settled(rest, own, {g: groups[g][1] for g in wide}, rounds, tol)
+        # the buckets as the centres have them, then distances to the buckets' own means
+        centers |= own
+        stats |= _measured(rest, own, wide)
+    ks = {g: _wanted(n, known[g], config) for g, (_, n) in enumerate(groups)}
     orders, ends = {}, {}
     for g, (path, n) in enumerate(groups):
         whole = stats[g, 0]
@@ -302,16 +335,17 @@ def _large(rows: DataFrame, groups: list[tuple[list[int], int]], base: int, conf
             records += [{"path": path, **described(d, config, n, len(path))} for d in said]
     chosen = {(g, k): centers[g, k] for g, (k, _) in orders.items()}
 
-    @F.pandas_udf("int")
-    def ordinal(group: pd.Series, vector: pd.Series) -> pd.Series:
+    @F.arrow_udf("int")
+    def ordinal(group: pa.Array, vector: pa.Array) -> pa.Array:
         out = np.full(len(group), -1)
         g = group.to_numpy() - base
+        x = vector.flatten().to_numpy(zero_copy_only=False).reshape(len(g), -1)
         for one in np.unique(g):
             if one in orders:
                 k, order = orders[one]
                 at = np.flatnonzero(g == one)
-                out[at] = np.array(order)[_closest(np.array(vector.iloc[at].tolist(), float), chosen[one, k])]
-        return pd.Series(out)
+                out[at] = np.array(order)[_closest(x[at], chosen[one, k])]
+        return pa.array(out, pa.int32())
 
     table = spark.createDataFrame([(g + base, ends[g]) for g in range(len(groups))], "__group int, __stuck boolean")
     out = rows.withColumn("__o", ordinal("__group", "vector")).join(F.broadcast(table), "__group")
@@ -319,11 +353,105 @@ def _large(rows: DataFrame, groups: list[tuple[list[int], int]], base: int, conf
     return out.withColumns({"path": F.when(end, F.col("__at")).otherwise(F.concat("__at", F.array("__o"))), "__end": end, "unsplittable": F.coalesce("__stuck", F.lit(False))}).drop("__o", "__stuck")
 
 
+def _wanted(n: int, known: int, config: TreeConfig) -> list[int]:
+    """The numbers of buckets that the rule will ask for in a group of n rows, `known` of them distinct."""
+    if config.split_mode == "fixed":
+        most = min(config.max_branches, known)
+        return [most] if most > 1 else []
+    return list(range(2, min(config.max_branches, n // config.min_cluster_size, known) + 1))
+
+
+def _seeded(first: np.ndarray, k: int, seed: int, rounds: int, tol: float) -> np.ndarray:
+    labels = kmeans(first, k, seed, rounds, tol)
+    return np.array([first[labels == c].mean(0) for c in sorted(set(labels.tolist()))])
+
+
+def _sampled(n: Column | int) -> Column:
+    """The rows of a group of n from which its first centres are drawn, by a hash."""
+    return F.pmod(F.xxhash64("seq", F.lit(12)), F.lit(1 << 40)) < F.least(F.lit(1.0), F.lit(SEED_ROWS) / n) * (1 << 40)
+
+
+#: One row a group and k; k 0 is the whole group, whose k_found is the number of distinct rows, up to max_branches.
+WHOLE = "g int, k int, k_found int, centers array<double>, n array<long>, first array<long>, d array<double>, means array<double>"
+
+
+def _whole(narrow: DataFrame, groups: list[tuple[list[int], int]], config: TreeConfig) -> list:
+    """What the rule needs to know of groups of up to ALONE rows: each group lies in one task, which draws the first centres, settles them and measures the
+    buckets, so that a level of such groups is one job. Rows wait in a file without a name."""
+    args = config.model_args
+    seed, rounds, tol = int(args.get("random_state") or 0), int(args.get("max_iter", 300)), float(args.get("tol", 1e-4))
+    sizes = narrow.sparkSession.createDataFrame([(g, n) for g, (_, n) in enumerate(groups)], "g int, __n long")
+    rows = narrow.join(F.broadcast(sizes), "g").select("g", "seq", "vector", _sampled(F.col("__n")).alias("drawn"))
+
+    def split(g: int, seq: np.ndarray, drawn: np.ndarray, x: np.ndarray):
+        known = distinct_rows(x, config.max_branches)
+        yield [g, 0, known, [], *measured(seq, x, None)]
+        first = np.array(x[np.flatnonzero(drawn)])
+        if not len(first):
+            return
+        todo = {(g, k): _seeded(first, k, seed, rounds, tol) for k in _wanted(len(x), known, config)}
+        for (_, k), c in _rounds(x, [(g, 0, len(x))], todo, rounds, tol).items():
+            yield [g, k, len(c), c.ravel().tolist(), *measured(seq, x, c)]
+
+    def measured(seq: np.ndarray, x: np.ndarray, c: np.ndarray | None):
+        size = 1 if c is None else len(c)
+        label = np.zeros(len(x), np.int32)
+        n, total, d = np.zeros(size, np.int64), np.zeros((size, x.shape[1])), np.zeros(size)
+        first = np.full(size, np.iinfo(np.int64).max)
+        for at in range(0, len(x), BLOCK):
+            part = x[at : at + BLOCK]
+            own = label[at : at + BLOCK] = np.zeros(len(part), np.int32) if c is None else _closest(part, c)
+            for b in np.unique(own).tolist():
+                n[b] += (own == b).sum()
+                total[b] += part[own == b].sum(0)
+                first[b] = min(first[b], seq[at : at + BLOCK][own == b].min())
+        means = total / np.maximum(n, 1)[:, None]
+        for at in range(0, len(x), BLOCK):
+            own = label[at : at + BLOCK]
+            d += np.bincount(own, np.linalg.norm(x[at : at + BLOCK] - means[own], axis=1), size)
+        return n.tolist(), first.tolist(), (d / np.maximum(n, 1)).tolist(), means.ravel().tolist()
+
+    def run(batches):
+        def out(g: int, parts: list, file):
+            file.flush()
+            seq, drawn = (np.concatenate([p[i] for p in parts]) for i in range(2))
+            found = list(split(g, seq, drawn, np.memmap(file, float, "r", shape=(len(seq), parts[0][2]))))
+            file.close()
+            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in found], t) for i, t in enumerate(kinds)], [c.split()[0] for c in WHOLE.split(", ")])
+
+        last, parts, file = None, [], None
+        for b in batches:
+            g = b.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(g)) + 1).tolist(), len(g)]
+            for at, to in zip(cuts, cuts[1:], strict=False):
+                if to == at:
+                    continue
+                if g[at] != last:
+                    if parts:
+                        yield out(last, parts, file)
+                    last, parts, file = int(g[at]), [], tempfile.TemporaryFile()
+                x = b.column(2).slice(at, to - at).flatten().to_numpy(zero_copy_only=False).astype(float)
+                parts.append((b.column(1).to_numpy()[at:to].copy(), b.column(3).to_numpy(zero_copy_only=False)[at:to].copy(), len(x) // (to - at)))
+                file.write(x.tobytes())
+        if parts:
+            yield out(last, parts, file)
+
+    # the largest groups first, each to the task that has the fewest rows
+    load = [0] * min(len(groups), 4 * max(2, _slots(narrow.sparkSession)))
+    task = [0] * len(groups)
+    for g in sorted(range(len(groups)), key=lambda g: -groups[g][1]):
+        task[g] = load.index(min(load))
+        load[task[g]] += groups[g][1]
+    dealt = rows.repartitionById(len(load), F.array(*map(F.lit, task))[F.col("g")])
+    return dealt.sortWithinPartitions("g", "seq").mapInArrow(run, WHOLE).collect()
+
+
 def _seeds(narrow: DataFrame, groups: list[tuple[list[int], int]]) -> list[dict]:
     """About SEED_ROWS vectors of each group, in order of seq."""
     spark = narrow.sparkSession
-    share = spark.createDataFrame([(g, min(1.0, SEED_ROWS / n)) for g, (_, n) in enumerate(groups)], "g int, share double")
-    some = narrow.join(F.broadcast(share), "g").where(F.pmod(F.xxhash64("seq", F.lit(12)), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    sizes = spark.createDataFrame([(g, n) for g, (_, n) in enumerate(groups)], "g int, __n long")
+    some = narrow.join(F.broadcast(sizes), "g").where(_sampled(F.col("__n")))
     out: dict[int, list] = {}
     for r in some.select("g", "seq", "vector").collect():
         out.setdefault(r["g"], []).append((r["seq"], r["vector"]))
@@ -338,8 +466,6 @@ def _partials(narrow: DataFrame, of: Callable, schema: str) -> DataFrame:
     """of(g, x, seq) -> rows, for the rows of each group in each Arrow batch."""
 
     def run(batches):
-        import pyarrow as pa
-
         kinds = None
         for b in batches:
             if not b.num_rows:
@@ -359,8 +485,6 @@ def _summed(parts: DataFrame) -> list:
     """Partial sums added up: one row a group, k and bucket, some hundreds a group."""
 
     def add(batches):
-        import pyarrow as pa
-
         sums: dict = {}
         for b in batches:
             for g, k, c, n, first, d, total in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
@@ -411,24 +535,29 @@ def _slots(spark) -> int:
     return max(1, context.maxNumConcurrentTasks(context.resourceProfileManager().defaultResourceProfile()))
 
 
+def _rounds(x: np.ndarray | None, runs: list[tuple[int, int, int]], todo: dict, rounds: int, tol: float, together: Callable[[dict], dict] = lambda sums: sums) -> dict:
+    """(group, k) -> centres after Lloyd's rounds over the rows of x that runs (group, start, end) give each group."""
+    settled, todo = dict(todo), dict(todo)
+    held = {key: _Rows(x[start:end]) for g, start, end in runs for key in todo if key[0] == g}
+    for _ in range(rounds):
+        if not todo:
+            break
+        sums = together({key: held[key].sums(c) if key in held else (np.zeros(len(c)), np.zeros_like(c)) for key, c in todo.items()})
+        for key, c in list(todo.items()):
+            n, total = sums[key]
+            moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+            settled[key] = todo[key] = moved
+            if ((moved - c) ** 2).sum() <= tol * float(c.var(0).mean() + 1e-12):
+                del todo[key]
+                held.pop(key, None)
+    return settled
+
+
 def _settling(centers: dict, rounds: int, tol: float, shared: bool) -> Callable:
     """Rows (g, seq, vector) in order of g -> the settled centres; shared: other tasks have rows of the same groups."""
 
     def settle(x: np.ndarray | None, runs: list[tuple[int, int, int]], todo: dict) -> dict:
-        settled = dict(todo)
-        held = {key: _Rows(x[start:end]) for g, start, end in runs for key in todo if key[0] == g}
-        for _ in range(rounds):
-            if not todo:
-                break
-            sums = together({key: held[key].sums(c) if key in held else (np.zeros(len(c)), np.zeros_like(c)) for key, c in todo.items()})
-            for key, c in list(todo.items()):
-                n, total = sums[key]
-                moved = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
-                settled[key] = todo[key] = moved
-                if ((moved - c) ** 2).sum() <= tol * float(c.var(0).mean() + 1e-12):
-                    del todo[key]
-                    held.pop(key, None)
-        return settled
+        return _rounds(x, runs, todo, rounds, tol, together)
 
     def together(sums: dict) -> dict:
         if not shared:
@@ -445,8 +574,6 @@ def _settling(centers: dict, rounds: int, tol: float, shared: bool) -> Callable:
         return out
 
     def run(batches):
-        import pyarrow as pa
-
         def rows(found: dict):
             keys = sorted(found)
             cols = [[g for g, _ in keys], [k for _, k in keys], [len(found[key]) for key in keys]]
@@ -528,9 +655,9 @@ class _Rows:
         return self.n.copy(), self.total.copy()
 
 
-def _measured(narrow: DataFrame, centers: dict, groups: int) -> dict:
+def _measured(narrow: DataFrame, centers: dict, groups: list[int]) -> dict:
     """(group, k) -> the buckets with n, first seq, mean and mean distance to it; k 0 is the whole group."""
-    zero = {(g, 0): np.zeros((1, 1)) for g in range(groups)}
+    zero = {(g, 0): np.zeros((1, 1)) for g in groups}
     every = {**centers, **zero}
 
     def bucketed(x, key):

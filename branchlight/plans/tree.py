@@ -7,7 +7,8 @@ and nodes(node_id, parent_id, path, is_leaf, count, vsum, unsplittable, label).
 Items lie in segments, one for each batch. A batch is routed against the tree as it is; only leaves that it overfills are read, split and written
 anew, with the batch's own rows, as the new segment. Older rows of such leaves are retired by a short list of (path, version), removed ones by a list of seq;
 both lists are held under LISTED rows, so that reading joins them by broadcast. When there are too many segments or the lists are full, items are written together.
-Nodes take the batch's sums, and lose the sums of what is removed.
+Nodes take the batch's sums, and lose the sums of what is removed. A rebalance that a batch makes due is done when the tree is next looked at, saved, or
+added to by a batch that is led to leaves; batches that each make it due are so built into the tree once, not once each.
 """
 
 from __future__ import annotations
@@ -94,7 +95,8 @@ class Tree:
 
     def __init__(self, spark: SparkSession, config: TreeConfig | None = None, embed: Callable[[Column], Column] | None = None, labeler: Any = None, state: Any = None, *, embedder: Any = None, strategy: Any = None):
         self.spark, self.config, self.embed, self.labeler, self.state, self.embedder, self.strategy = spark, config or TreeConfig(), embed, labeler, state, embedder, strategy
-        self.nodes: DataFrame = spark.createDataFrame([], NODES)
+        self._due = False
+        self.nodes = spark.createDataFrame([], NODES)
         self.pca = PCAState() if self.config.pca_dims else None
         self.next_seq, self.inserts, self.dim, self.fitted_seq, self.version, self.size = 0, 0, None, 0, 0, 0
         self.batches: dict[str, int] = {}
@@ -106,18 +108,50 @@ class Tree:
         if saved:
             self.restore(saved)
 
+    @property
+    def nodes(self) -> DataFrame:
+        self._balanced()
+        return self._nodes
+
+    @nodes.setter
+    def nodes(self, nodes: DataFrame) -> None:
+        self._nodes = nodes
+
+    @property
+    def segments(self) -> list[tuple[int, DataFrame]]:
+        self._balanced()
+        return self._segments
+
+    @segments.setter
+    def segments(self, segments: list[tuple[int, DataFrame]]) -> None:
+        self._segments = segments
+
+    def _balanced(self) -> None:
+        """Does the rebalance that a batch has made due, if there is one."""
+        if self._due:
+            self._due = False
+            try:
+                self.rebalance()
+            except BaseException:
+                self._due = True
+                raise
+
     def _one_segment(self, items: DataFrame | None) -> None:
-        self.segments: list[tuple[int, DataFrame]] = [] if items is None else [(self.version, items)]
+        self._segments = [] if items is None else [(self.version, items)]
         self.retired, self.removed, self.listed = None, None, 0
 
     @property
     def items(self) -> DataFrame:
         """All contents as they are now."""
-        if not self.segments:
+        self._balanced()
+        return self._rows()
+
+    def _rows(self) -> DataFrame:
+        if not self._segments:
             return self.spark.createDataFrame([], ITEMS)
         names = [c.split()[0] for c in ITEMS.split(", ")]
         out = None
-        for v, t in self.segments:
+        for v, t in self._segments:
             one = t.select(*names, F.lit(v).cast("long").alias("__v"))
             out = one if out is None else out.unionByName(one)
         hint = F.broadcast if self.listed <= LISTED else lambda t: t
@@ -162,6 +196,10 @@ class Tree:
         dims, short = fresh.agg(F.min(F.size("raw")), F.max(F.size("raw"))).first()
         if dims != short or (self.dim or dims) != dims:
             raise ValueError(f"vectors of {self.dim or short} and {dims} dimensions don't go together")
+        every = self.config.rebalance.every_n_inserts
+        due = bool(self.config.rebalance.enabled and every and self.inserts + n >= every)
+        if not due:
+            self._balanced()
         self.dim = dims
         self.next_seq += n
         self.size += n
@@ -169,11 +207,9 @@ class Tree:
         if batch is not None:
             self.batches[batch[0]] = batch[1]
         rows = fresh.withColumns({"vector": F.col("raw"), "path": F.lit(None).cast("array<int>"), "unsplittable": F.lit(False)})
-        every = self.config.rebalance.every_n_inserts
-        due = bool(self.config.rebalance.enabled and every and self.inserts + n >= every)
         warm = self.pca is not None and not self.pca.is_fitted
         if warm or due:  # the rebalance that is due builds the whole tree from these rows, so that they aren't led to leaves before
-            self.segments.append((self.version, self._kept(rows, "items")))
+            self._segments.append((self.version, self._kept(rows, "items")))
             if warm and self.size >= self.config.pca_warmup:
                 self._fit(self.items)
                 if not due:
@@ -186,13 +222,20 @@ class Tree:
                     self._advance(pending)
         dropped(numbered, fresh)
         self.inserts += n
-        if due and (self.pca is None or self.pca.is_fitted):
+        if due and self._may_wait():
+            self._due, self.inserts = True, 0
+            self._together()
+        elif due and (self.pca is None or self.pca.is_fitted):
             self.rebalance()
         else:
             self._together()
             self.save()
         return n
 
+    def _may_wait(self) -> bool:
+        """Whether nothing but the tree's own tables shows when a rebalance is done: no state, reducer, log or strategy."""
+        return self.state is None and self.pca is None and self.strategy is None and not self.config.log_split_decisions
+
     def _embedded(self, rows: DataFrame) -> DataFrame:
         """Only contents that come without a vector are embedded; an embedder sees each distinct text once, and none that it has seen before."""
         if self.embed is not None:
@@ -324,6 +367,7 @@ class Tree:
 
     def rebalance(self) -> None:
         """Fit the reducer, project everything anew and build the tree from the top. Labels go."""
+        self._due = False
         if self.pca is not None and self.size:
             if self.config.pca_mode == "freeze" or not self.pca.is_fitted:
                 self._fit(self.items)
@@ -341,13 +385,13 @@ class Tree:
         self._refresh()
 
     def _replace(self, items: DataFrame) -> None:
-        self._forget(*(t for _, t in self.segments), self.retired, self.removed)
+        self._forget(*(t for _, t in self._segments), self.retired, self.removed)
         self._one_segment(items)
 
     def _together(self) -> None:
         """Writes items together where there are too many segments or listed rows; such a pass comes once in many batches."""
-        if len(self.segments) > SEGMENTS or self.listed > LISTED:
-            self._replace(self._kept(self.items, "items"))
+        if len(self._segments) > SEGMENTS or self.listed > LISTED:
+            self._replace(self._kept(self._rows(), "items"))
 
     def _refresh(self) -> None:
         """All nodes anew from all items; the root stays if there are none."""
@@ -362,7 +406,7 @@ class Tree:
         return self.spark.createDataFrame([(0, None, [], True, 0, [0.0] * (len(self.pca.components) if self.pca is not None and self.pca.is_fitted else self.dim or 0), False, None)], NODES)
 
     def _set_nodes(self, nodes: DataFrame) -> None:
-        old, self.nodes = self.nodes, self._kept(nodes, "nodes")
+        old, self.nodes = self._nodes, self._kept(nodes, "nodes")
         self._forget(old)
 
     def remove(self, *ids: Any) -> int:
@@ -408,6 +452,7 @@ class Tree:
         Not exhaustive: only the leaf that the query is routed to, so fewer than k may come. Before a reducer is fitted: all items, in raw space.
         """
         knn.check_k(k)
+        self._balanced()
         warm = self.pca is not None and not self.pca.is_fitted
         if "embedding" not in queries.columns:
             queries = self._embedded(queries.select("query_id", "text", F.lit(None).cast("array<double>").alias("embedding")))
@@ -502,6 +547,7 @@ class Tree:
         self._old[-1] += [t for t in tables if t is not None and folder_of(t)]
 
     def meta(self) -> dict:
+        self._balanced()
         return {"version": 2, "next_seq": self.next_seq, "inserts": self.inserts, "dim": self.dim, "fitted_seq": self.fitted_seq, "size": self.size, "items_version": self.version, "batches": self.batches, "pca": None if self.pca is None else self.pca.to_dict()}
 
     def dump(self) -> dict:
@@ -525,7 +571,7 @@ class Tree:
         if isinstance(saved, Branch):
             self.add_branch(saved)
             return
-        self.nodes = saved["nodes"]
+        self._due, self.nodes = False, saved["nodes"]
         self.next_seq, self.inserts, self.dim, self.fitted_seq = (saved[k] for k in ("next_seq", "inserts", "dim", "fitted_seq"))
         self.version, self.batches = saved.get("items_version", 0), dict(saved.get("batches") or {})
         self.pca = PCAState.from_dict(saved["pca"]) if saved.get("pca") else None
