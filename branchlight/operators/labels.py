@@ -10,12 +10,17 @@ from dataclasses import dataclass, field
 from functools import cache
 from typing import Any, Protocol, runtime_checkable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import LLMConfig
 from ..functions.text import tokens
 
+#: Terms of all groups up to which they are broadcast; more meet the texts by group.
+BROADCAST = 1 << 20
 #: English stop words besides those of Spark's own list, and words of that list that are none here.
 MORE_STOP_WORDS = frozenset("""
 across afterwards almost alone along already also although always among amongst amoungst amount anyhow anyone anything anyway anywhere around
@@ -177,26 +182,65 @@ def keywords(docs: DataFrame, group: str, *, text: str = "text", id_col: str = "
     """L4: (group, rank, term, score): the terms with the highest sums of length-normalised TF-IDF within each group.
 
     Each group keeps its max_features most frequent terms, ties by term; idf is ln((1 + n) / (1 + df)) + 1; each text's weights have length 1.
-    Blank texts count for nothing. Only counts of terms in groups are shuffled, and then the words of the few terms that are kept.
+    Blank texts count for nothing. Texts are read twice, for the counts of terms in groups and for the weights of the terms that are kept; words are counted
+    within Arrow batches, so that what is shuffled is one row a batch, group and term.
     """
+    from ..sources.shared import written
+
     stop = list(stop_words)
-    rows = docs.where(F.length(F.trim(text)) > 0).select(F.col(group).alias("g"), F.col(id_col).alias("i"), F.array_sort(tokens(F.col(text))).alias("ts"))
+    rows = docs.where(F.length(F.trim(text)) > 0).select(F.col(group).alias("g"), tokens(F.col(text)).alias("ts"))
+    kind = rows.schema["g"].dataType.simpleString()
     n = rows.groupBy("g").agg(F.count("*").alias("n"))
-    # sorted, so that a term's first place in a text counts the text
-    words = rows.select("g", "i", F.explode(F.transform("ts", lambda t, k: F.struct(t.alias("term"), ((k == 0) | (F.try_element_at("ts", F.when(k > 0, k)) != t)).cast("int").alias("first")))).alias("w")).select("g", "i", "w.term", "w.first")
+    terms = rows.mapInArrow(_counted, f"g {kind}, term string, total long, df long").groupBy("g", "term").agg(F.sum("total").alias("total"), F.sum("df").alias("df"))
     if stop:
-        words = words.where(~F.col("term").isin(stop))
-    terms = words.groupBy("g", "term").agg(F.count("*").alias("total"), F.sum("first").alias("df"))
+        terms = terms.where(~F.col("term").isin(stop))
     terms = terms.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("total"), "term"))).where(F.col("r") <= max_features)
-    terms = terms.join(n, "g").select("g", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = words.select("g", "i", "term").join(terms, ["g", "term"]).groupBy("g", "i", "term").agg((F.count("*") * F.first("idf")).alias("w"))
-    # at most max_features weights a text
-    texts = weighted.groupBy("g", "i").agg(F.collect_list(F.struct("term", "w")).alias("ws"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    sums = texts.select("g", "length", F.explode("ws").alias("t")).groupBy("g", "t.term").agg(F.sum(F.col("t.w") / F.col("length")).alias("score"))
+    terms = terms.join(n, "g").groupBy("g").agg(F.collect_list(F.struct("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))).alias("k"))
+    terms = written(terms.select("g", F.col("k.term").alias("terms"), F.col("k.idf").alias("idf")), "terms")
+    few = terms.count() * max_features <= BROADCAST
+    sums = rows.join(F.broadcast(terms) if few else terms, "g").mapInArrow(_weighed, f"g {kind}, term string, score double").groupBy("g", "term").agg(F.sum("score").alias("score"))
     order = Window.partitionBy("g").orderBy(F.desc(F.round("score", 9)), "term")
     return sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_k).select(F.col("g").alias(group), "rank", "term", "score")
 
 
+def _words(texts) -> tuple[np.ndarray, pa.Array]:
+    """Of lists of words: the list that each word is from, and the words."""
+    return np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)), texts.flatten()
+
+
+def _counted(batches):
+    """(g, words of a text) -> for each group and term of a batch how often it is there, and in how many texts."""
+    for b in batches:
+        doc, flat = _words(b.column(1))
+        if not len(flat):
+            continue
+        groups, words = b.column(0).dictionary_encode("encode"), flat.dictionary_encode()
+        size = len(words.dictionary)
+        pairs, often = np.unique(doc * size + words.indices.to_numpy(), return_counts=True)
+        of, at = np.unique(groups.indices.to_numpy()[pairs // size].astype(np.int64) * size + pairs % size, return_inverse=True)
+        total, df = np.bincount(at, often).astype(np.int64), np.bincount(at)
+        yield pa.RecordBatch.from_arrays([groups.dictionary.take(pa.array(of // size)), words.dictionary.take(pa.array(of % size)), pa.array(total), pa.array(df.astype(np.int64))], ["g", "term", "total", "df"])
+
+
+def _weighed(batches):
+    """(g, words of a text, the group's terms, their idf) -> for each group and term of a batch the sum of the texts' weights, each text's of length 1."""
+    for b in batches:
+        groups = b.column(0).dictionary_encode("encode")
+        code = groups.indices.to_numpy()
+        for g in np.unique(code).tolist():
+            at = np.flatnonzero(code == g)
+            terms, idf = b.column(2)[at[0]].values, b.column(3)[at[0]].values.to_numpy()
+            doc, flat = _words(b.column(1).take(pa.array(at)))
+            place = pc.fill_null(pc.index_in(flat, value_set=terms), -1).to_numpy()
+            pairs, often = np.unique(doc[place >= 0] * len(terms) + place[place >= 0], return_counts=True)
+            doc, term = pairs // len(terms), pairs % len(terms)
+            weight = often * idf[term]
+            score = np.bincount(term, weight / np.sqrt(np.bincount(doc, weight * weight))[doc], len(terms))
+            used = np.flatnonzero(np.bincount(term, minlength=len(terms)))
+            if len(used):
+                yield pa.RecordBatch.from_arrays([groups.dictionary.take(pa.array(np.full(len(used), g))), terms.take(pa.array(used)), pa.array(score[used])], ["g", "term", "score"])
+
+
 def keyword_labels(requests: DataFrame, labeler: KeywordLabeler) -> DataFrame:
     """L4: candidates (node_id, rank, content_id, text) -> (node_id, label): what labeler.label() gives, for all nodes in a few joins; "" without terms."""
     words = keywords(requests, "node_id", id_col="rank", top_k=labeler.top_k, max_features=labeler.max_features, stop_words=sorted(labeler.words()))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import DataFrame, functions as F
 
 from branchlight.config import TreeConfig
-from branchlight.operators import split
+from branchlight.operators import labels, split
 from branchlight.plans import queries
 from branchlight.plans.tree import Tree
 
@@ -84,3 +84,20 @@ def test_distinct_rows():
     late = np.zeros((1_000, 2))
     late[999] = 1
     assert split.distinct_rows(late, 5) == 2
+
+
+def test_words_are_counted_before_they_are_shuffled(spark, monkeypatch):
+    """Keywords without a row for each word; the same by broadcast and by a join, with stop words, copies, blanks and a group without a name."""
+    texts = [(1, "tin tin oak"), (1, "oak elm Elm"), (1, "  "), (2, "elm elm fir the"), (2, None), (3, "a b"), (None, "ash ash")]
+    docs = spark.createDataFrame([(i, g, t) for i, (g, t) in enumerate(texts)], "content_id long, node int, text string")
+    monkeypatch.setattr(labels.F, "explode", None)
+    got = []
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(labels, "BROADCAST", limit)
+        found = labels.keywords(docs, "node", top_k=2, stop_words=["the"]).collect()
+        got.append(sorted((r["node"], r["rank"], r["term"], round(r["score"], 9)) for r in found))
+    one = labels.KeywordLabeler(top_k=2, stop_words=["the"])
+    for node in (1, 2):
+        asked = labels.LabelRequest([labels.LabelCandidate(i, t) for i, (g, t) in enumerate(texts) if g == node and t])
+        assert ", ".join(t for n, _, t, _ in got[0] if n == node) == one.label(asked)
+    assert got[0] == got[1] and {n for n, *_ in got[0]} == {1, 2}
