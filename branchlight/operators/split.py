@@ -68,6 +68,7 @@ def kmeans(x: np.ndarray, k: int, seed: int = 0, max_iter: int = 300, tol: float
     k = distinct_rows(x, k)
     if k < 2:
         return np.zeros(len(x), int)
+    x = x - x.mean(0)  # else distances within a narrow group far from zero are lost in rounding, and its rounds and levels don't end
     centers = x[[int(rng.integers(len(x)))]]
     near = ((x - centers[0]) ** 2).sum(1)
     while len(centers) < k:
@@ -459,6 +460,7 @@ def _seeds(narrow: DataFrame, groups: list[tuple[list[int], int]]) -> list[dict]
 
 
 def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    x, c = x - c.mean(0), c - c.mean(0)  # as in kmeans()
     return ((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]).argmin(1)
 
 
@@ -632,13 +634,16 @@ class _Rows:
             self.next -= moved.max()
             look = np.flatnonzero(self.own + self.slack >= self.next)
         self.centers = c
-        length = (c * c).sum(1)
+        origin = c.mean(0)
+        near = c - origin  # as in kmeans()
+        length = (near * near).sum(1)
         for at in range(0, len(look), BLOCK):
             rows = look[at : at + BLOCK]
             part = self.x[rows]
-            size = (part * part).sum(1)
+            off = part - origin
+            size = (off * off).sum(1)
             self.slack = max(self.slack, 1e-6 * float(np.sqrt(size.max())))
-            far = size[:, None] - 2 * part @ c.T + length
+            far = size[:, None] - 2 * off @ near.T + length
             new, old = far.argmin(1), self.label[rows]
             far = np.sqrt(np.maximum(far, 0))
             self.own[rows] = far[np.arange(len(rows)), new]

@@ -101,3 +101,24 @@ def test_words_are_counted_before_they_are_shuffled(spark, monkeypatch):
         asked = labels.LabelRequest([labels.LabelCandidate(i, t) for i, (g, t) in enumerate(texts) if g == node and t])
         assert ", ".join(t for n, _, t, _ in got[0] if n == node) == one.label(asked)
     assert got[0] == got[1] and {n for n, *_ in got[0]} == {1, 2}
+
+
+def test_copies_up_to_rounding_make_no_deep_tree():
+    """Rows that differ in their last bits are told apart by the bits in which they differ; a level takes off no mere handful of them."""
+    rng = np.random.default_rng(1)
+    one = rng.normal(size=64)
+    x = one * rng.uniform(0.5, 2, (500, 1))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    leaves = split.grow(x, 0, TreeConfig())
+    assert max(len(path) for path, _, _ in leaves) <= 10 and sorted(np.concatenate([r for _, _, r in leaves])) == list(range(500))
+    # the same in the steps for large groups
+    y = one + 1e-9 * rng.normal(size=(300, 64))
+    c = y[:5].copy()
+    nearest = ((y[:, None] - c[None]) ** 2).sum(2).argmin(1)
+    assert (split._closest(y, c) == nearest).all()
+    held = split._Rows(y)
+    for _ in range(3):
+        nearest = ((y[:, None] - c[None]) ** 2).sum(2).argmin(1)
+        n, total = held.sums(c)
+        assert n.tolist() == np.bincount(nearest, minlength=5).tolist()
+        c = total / n[:, None]
