@@ -49,6 +49,11 @@ def lloyd(items: DataFrame, seeds: DataFrame, rounds: int) -> DataFrame:
 
 def distinct_rows(x: np.ndarray, most: int) -> int:
     """The number of distinct rows, or `most` if there are at least so many; as a rule the first rows tell."""
+    return len(_distinct(x, most))
+
+
+def _distinct(x: np.ndarray, most: int) -> list[np.ndarray]:
+    """The first distinct rows, at most `most`."""
     seen: list[np.ndarray] = []
     for at in range(0, len(x), 256):
         part = np.asarray(x[at : at + 256])
@@ -57,9 +62,9 @@ def distinct_rows(x: np.ndarray, most: int) -> int:
         while len(part):
             seen.append(part[0])
             if len(seen) >= most:
-                return most
+                return seen
             part = part[(part != part[0]).any(1)]
-    return len(seen)
+    return seen
 
 
 def kmeans(x: np.ndarray, k: int, seed: int = 0, max_iter: int = 300, tol: float = 1e-4) -> np.ndarray:
@@ -309,6 +314,13 @@ def _large(rows: DataFrame, groups: list[tuple[list[int], int]], base: int, conf
         # as many buckets as centres, from k-means on the first rows
         own: dict[tuple[int, int], np.ndarray] = {}
         for r in _seeds(rest, groups):
+            most = min(known[r["g"]], config.max_branches)
+            while distinct_rows(r["seqs"], most) < most:  # as in _whole()
+                held = F.array(*[F.lit(v.tolist()) for v in _distinct(r["seqs"], most)])
+                other = rest.where((F.col("g") == r["g"]) & ~F.array_contains(held, F.col("vector"))).agg(F.min_by("vector", "seq")).first()[0]
+                if other is None:
+                    break
+                r["seqs"] = np.concatenate([r["seqs"], [other]])
             for k in _wanted(groups[r["g"]][1], known[r["g"]], config):
                 own[r["g"], k] = _seeded(r["seqs"], k, seed, rounds, tol)
         own = _settled(rest, own, {g: groups[g][1] for g in wide}, rounds, tol)
@@ -388,8 +400,8 @@ def _whole(narrow: DataFrame, groups: list[tuple[list[int], int]], config: TreeC
         known = distinct_rows(x, config.max_branches)
         yield [g, 0, known, [], *measured(seq, x, None)]
         first = np.array(x[np.flatnonzero(drawn)])
-        if not len(first):
-            return
+        if distinct_rows(first, known) < known:  # else a few rows among many copies get no centre, and the group ends whole
+            first = np.concatenate([first, _distinct(x, known)])
         todo = {(g, k): _seeded(first, k, seed, rounds, tol) for k in _wanted(len(x), known, config)}
         for (_, k), c in _rounds(x, [(g, 0, len(x))], todo, rounds, tol).items():
             yield [g, k, len(c), c.ravel().tolist(), *measured(seq, x, c)]

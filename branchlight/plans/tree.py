@@ -192,8 +192,7 @@ class Tree:
         if not n:
             return 0
         first = self.next_seq
-        fresh = self._kept(numbered.select((F.col("n") + first).alias("seq"), "content_id", "text", "metadata", normalise("embedding").alias("raw")), "batch")
-        dims, short = fresh.agg(F.min(F.size("raw")), F.max(F.size("raw"))).first()
+        dims, short = numbered.agg(F.min(F.size("embedding")), F.max(F.size("embedding"))).first()
         if dims != short or (self.dim or dims) != dims:
             raise ValueError(f"vectors of {self.dim or short} and {dims} dimensions don't go together")
         every = self.config.rebalance.every_n_inserts
@@ -206,16 +205,18 @@ class Tree:
         self.version += 1
         if batch is not None:
             self.batches[batch[0]] = batch[1]
-        rows = fresh.withColumns({"vector": F.col("raw"), "path": F.lit(None).cast("array<int>"), "unsplittable": F.lit(False)})
+        fresh = numbered.select((F.col("n") + first).alias("seq"), "content_id", "text", "metadata", normalise("embedding").alias("raw"))
+        none_yet = {"vector": F.col("raw"), "path": F.lit(None).cast("array<int>"), "unsplittable": F.lit(False)}
         warm = self.pca is not None and not self.pca.is_fitted
         if warm or due:  # the rebalance that is due builds the whole tree from these rows, so that they aren't led to leaves before
-            self._segments.append((self.version, self._kept(rows, "items")))
+            self._segments.append((self.version, self._kept(fresh.withColumns(none_yet), "items")))
             if warm and self.size >= self.config.pca_warmup:
                 self._fit(self.items)
                 if not due:
                     self._rebuild()
         else:
-            self._insert(self._projected(rows), first)
+            fresh = self._kept(fresh, "batch")
+            self._insert(self._projected(fresh.withColumns(none_yet)), first)
             if self.pca is not None and self.config.pca_mode == "incremental":
                 pending = self.items.where(F.col("seq") >= self.fitted_seq)
                 if pending.count() >= self.config.pca_batch_size:
@@ -261,7 +262,9 @@ class Tree:
         if not before:
             return dealt.select(*rows.columns, F.lit(0).cast("long").alias(name)), 0
         start = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
-        return dealt.select(*rows.columns, (start[F.col("__p")] + F.col("__i")).cast("long").alias(name)), total
+        out = dealt.select(*rows.columns, (start[F.col("__p")] + F.col("__i")).cast("long").alias(name))
+        out._branchlight_folder = folder_of(dealt)
+        return out, total
 
     def _insert(self, fresh: DataFrame, first: int) -> None:
         """The batch's rows, of seq `first` and on, into the leaves they are led to; leaves over leaf_target are split."""

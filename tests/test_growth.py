@@ -122,3 +122,30 @@ def test_copies_up_to_rounding_make_no_deep_tree():
         n, total = held.sums(c)
         assert n.tolist() == np.bincount(nearest, minlength=5).tolist()
         c = total / n[:, None]
+
+
+def test_a_batch_is_written_as_numbered_and_as_items(spark, monkeypatch):
+    """Not once more in between; the numbered rows go when the batch is done."""
+    from branchlight.plans import tree
+
+    kept, gone = [], []
+    monkeypatch.setattr(tree, "written", lambda df, what, f=tree.written: kept.append((what, f(df, what))) or kept[-1][1])
+    monkeypatch.setattr(tree, "dropped", lambda *tables, f=tree.dropped: gone.extend(map(tree.folder_of, tables)) or f(*tables))
+    t = Tree(spark, often())
+    rows = queries.content_rows(spark, SF)
+    t.ingest(rows)
+    assert [what for what, _ in kept] == ["tree-numbered", "tree-items"] and gone[0] == tree.folder_of(kept[0][1])
+    assert [tuple(r) for r in t.items.select("seq", "content_id").orderBy("seq").collect()] == [(i, str(i)) for i in range(rows.count())]
+
+
+@pytest.mark.parametrize("alone", [split.ALONE, 100])
+def test_few_rows_among_many_copies_are_split_off(spark, monkeypatch, alone):
+    """In a large group, too, whose first centres are drawn from rows that are all alike."""
+    monkeypatch.setattr(split, "ALONE", alone)
+    monkeypatch.setattr(split, "SEED_ROWS", 20)
+    x = np.zeros((400, 3))
+    x[[7, 190, 333]] = np.eye(3)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "seq long, vector array<double>")
+    leaf = {r["seq"]: tuple(r["path"]) for r in split.divisive(rows, TreeConfig(max_branches=4), local_max=50).collect()}
+    want = {int(i): tuple(p) for p, _, found in split.grow(x, 0, TreeConfig(max_branches=4)) for i in found}
+    assert leaf == want and len(set(leaf.values())) == 4
