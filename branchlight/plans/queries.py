@@ -503,8 +503,6 @@ def parquet_state_roundtrip(spark, sf_dir):
 
 def tree_nodes(spark, sf_dir, removed: str | None = None):
     """A tree that takes the table in two batches, and then loses the items that `removed` asks for."""
-    import json
-
     from ..config import TreeConfig
     from .tree import Tree
 
@@ -513,7 +511,7 @@ def tree_nodes(spark, sf_dir, removed: str | None = None):
     t.ingest(rows.where("ordinal % 3 <> 0"))
     t.ingest(rows.where("ordinal % 3 = 0"))
     if removed:
-        t.remove(*[json.loads(r["content_id"]) for r in rows.where(removed).select("content_id").collect()])
+        t.remove_all(rows.where(removed).select("content_id"))
     return t
 
 

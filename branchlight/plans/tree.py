@@ -413,20 +413,22 @@ class Tree:
         self._forget(old)
 
     def remove(self, *ids: Any) -> int:
-        """Of each id the first item that has it; how many were removed. Their sums leave the nodes above them, and nodes without items go,
-        but for the root. Written once, and only if any was."""
-        if not ids:
-            return 0
-        want = self.spark.createDataFrame([(json.dumps(i),) for i in dict.fromkeys(ids)], "content_id string")
-        found = self.items.join(want, "content_id", "left_semi").groupBy("content_id").agg(F.min_by(F.struct("seq", "path", "vector"), "seq").alias("r"))
-        gone = self._kept(found.select("r.*"), "gone")
-        n = gone.count()
+        """Of each id the first item that has it; how many were removed."""
+        return self.remove_all(self.spark.createDataFrame([(json.dumps(i),) for i in dict.fromkeys(ids)], "content_id string")) if ids else 0
+
+    def remove_all(self, ids: DataFrame) -> int:
+        """remove() for ids(content_id) as items have them, as many as one likes: none passes through the driver. The sums of what is removed leave the nodes
+        above it, and nodes without items go, but for the root. Written once, and only if any was. Vectors are read only of what is removed."""
+        want = ids.select(F.col("content_id").cast("string").alias("content_id"))
+        found = self.items.select("content_id", "seq").join(want, "content_id", "left_semi").groupBy("content_id").agg(F.min("seq").alias("seq"))
+        seqs = self._kept(found.select("seq"), "gone")
+        n = seqs.count()
         if not n:
-            dropped(gone)
+            dropped(seqs)
             return 0
+        gone = self.items.join(seqs, "seq", "left_semi")
         self.version += 1
         self.size -= n
-        seqs = gone.select("seq")
         self.removed = self._kept(seqs if self.removed is None else self.removed.unionByName(seqs), "removed")
         self.listed += n
         minus = roll_up(gone.where("path is not null").select("path", "vector")).select(F.col("prefix").alias("path"), F.col("count").alias("__n"), F.col("vsum").alias("__s"))
@@ -440,7 +442,7 @@ class Tree:
         else:
             self._set_nodes(left)
         self._together()
-        dropped(gone, left)
+        dropped(seqs, left)
         self.save()
         return n
 

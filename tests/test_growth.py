@@ -149,3 +149,20 @@ def test_few_rows_among_many_copies_are_split_off(spark, monkeypatch, alone):
     leaf = {r["seq"]: tuple(r["path"]) for r in split.divisive(rows, TreeConfig(max_branches=4), local_max=50).collect()}
     want = {int(i): tuple(p) for p, _, found in split.grow(x, 0, TreeConfig(max_branches=4)) for i in found}
     assert leaf == want and len(set(leaf.values())) == 4
+
+
+def test_ids_to_remove_do_not_pass_through_the_driver(spark, monkeypatch):
+    """What the driver collects doesn't grow with what is removed, and the first item of each id goes, as by remove()."""
+    rows = queries.content_rows(spark, SF)
+    kind, asked = type(rows), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: asked.append(collect(self)) or asked[-1])
+    t = queries.tree_nodes(spark, SF, "ordinal % 3 = 0")
+    assert max(map(len, asked), default=0) < 50
+    n = rows.count()
+    left = n - -(-n // 3)
+    assert len(t) == t.items.count() == left == t.nodes.where(F.size("path") == 0).first()["count"] and t.items.where("cast(content_id as long) % 3 = 0").count() == 0
+    t.ingest(rows.where("ordinal in (1, 2)"))
+    ids = spark.createDataFrame([("1",), ("1",), ("7",), ("none",)], "content_id string")
+    assert [t.remove_all(ids), t.remove(1, 7), t.remove_all(ids), len(t)] == [2, 1, 0, left - 1]
+    assert sorted(r[0] for r in t.items.where("content_id in ('1', '2', '7')").select("content_id").collect()) == ["2", "2"]
